@@ -59,7 +59,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+WARC = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+h AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex,
+             max(page_id) OVER (PARTITION BY html) AS last_id FROM p),
+d AS (SELECT page_id, payload_bytes, last_id,
+             list_aggregate(list_transform(range(8), lambda g: list_aggregate(list_transform(range(4), lambda k:
+               substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                 1 + ((('0x' || substr(hex, (1 + 5 * g)::INT, 5))::BIGINT // (32 ** (3 - k))::BIGINT) % 32)::INT, 1)),
+               'string_agg', '')), 'string_agg', '') AS payload_digest FROM h)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = last_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last_id THEN last_id END AS refers_to FROM d
+"""
+
 ORACLES: dict[str, str] = {
+    "op3_warc": WARC,
     "op6_exact_dedup": EXACT_DEDUP,
     "op10_quality_rules": QUALITY_RULES,
 }

@@ -17,6 +17,22 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stripewise.llm.mixing import mix_sources, taken_words
+
+    mix = mix_sources(table(spark, sf_dir, "documents"))
+    return taken_words(mix).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stripewise.llm.warc import archive_folder, read_archives, write_archives
+
+    packages = write_archives(table(spark, sf_dir, "pages"), archive_folder(spark))
+    return read_archives(packages, payloads=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stripewise.llm.packing import pack
 
@@ -25,6 +41,22 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stripewise.llm.pii import KINDS, find_pii
+
+    spans = F.col("spans")
+    listed = lambda x: F.array_join(
+        F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+    of_kind = lambda k: lambda s: s["kind"] == k
+    return find_pii(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *[F.size(F.filter(spans, of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS],
+        F.sha2(listed(F.filter(spans, lambda s: s["base"])), 256).alias("base_sha256"),
+        listed(spans).alias("spans"),
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stripewise.llm.exact_dedup import exact_dedup
 
@@ -53,7 +85,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
+    "op3_warc": op3_warc,
     "op4_packing": op4_packing,
+    "op5_pii": op5_pii,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_sharding": op8_sharding,
     "op10_quality_rules": op10_quality_rules,
