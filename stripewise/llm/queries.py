@@ -63,6 +63,19 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("row")
 
 
+def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stripewise.llm.quality_crf import FOLDS, HELD_OUT, THRESHOLD, fold, score_quality, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = train(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, field).select(
+        "doc_id",
+        (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"),
+        "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stripewise.llm.sharding import shard_documents
 
@@ -90,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_pii": op5_pii,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_quality_crf": op7_quality_crf,
     "op8_sharding": op8_sharding,
     "op10_quality_rules": op10_quality_rules,
 }
