@@ -82,6 +82,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stripewise.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85).drop("row", "first")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stripewise.llm.quality_rules import quality_rules
 
@@ -105,5 +111,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_quality_crf": op7_quality_crf,
     "op8_sharding": op8_sharding,
+    "op9_minhash": op9_minhash,
     "op10_quality_rules": op10_quality_rules,
 }
