@@ -24,6 +24,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(mix).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stripewise.llm.pitman_yor import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stripewise.llm.warc import archive_folder, read_archives, write_archives
 
@@ -105,6 +111,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_pitman_yor": op2_pitman_yor,
     "op3_warc": op3_warc,
     "op4_packing": op4_packing,
     "op5_pii": op5_pii,
