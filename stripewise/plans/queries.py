@@ -209,8 +209,8 @@ k AS (SELECT i, value FROM g, tot JOIN e ON (i * 7919 * {evaluate.LCG_MULTIPLIER
 
 def _k_negative(salt: int) -> str:
     return f"""nd AS (SELECT i, ({LCG} + {salt}) % {evaluate.NEGATIVE_BASE} - 1048576 AS value FROM (SELECT range AS i FROM range({2 * LOOKUPS + 16}))),
-nf AS (SELECT nd.i AS at, value FROM nd WHERE value NOT IN (SELECT value FROM t) ORDER BY nd.i LIMIT {LOOKUPS}),
-k AS (SELECT row_number() OVER (ORDER BY at) - 1 AS i, value FROM nf)"""
+nf AS (SELECT nd.i AS ord, value FROM nd WHERE value NOT IN (SELECT value FROM t) ORDER BY nd.i LIMIT {LOOKUPS}),
+k AS (SELECT row_number() OVER (ORDER BY ord) - 1 AS i, value FROM nf)"""
 
 
 ZONE_OUTCOME = """c AS (SELECT k.i, k.value, z.stripe_id, k.value BETWEEN z.min AND z.max AS f, t.value IS NOT NULL AS held FROM k CROSS JOIN z LEFT JOIN t ON t.value = k.value AND t.stripe_id = z.stripe_id)
