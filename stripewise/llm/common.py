@@ -6,6 +6,7 @@ return), so that words are the same in Java, Python bytes and DuckDB.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +40,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def steady(df: DataFrame) -> DataFrame:
+    """df such that monotonically_increasing_id() numbers its rows alike in every job: as it is
+    where it only reads files (or a local list), projected and filtered; any other is stored
+    first, since a shuffle may deal its rows out anew."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    names = {m[1] for m in (re.match(r"[\s:+\-]*'?(\w+)", x) for x in plan.toString().splitlines() if x.strip()) if m}
+    if names <= {"Project", "Filter", "Relation", "LocalRelation", "Range"} and plan.deterministic():
+        return df
+    return stored(df, "rows")
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, inside one projection."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stripewise.llm.common import cut, without_spaces
+from stripewise.llm.common import cut, steady, without_spaces
 
 #: Runs that one merge takes in: three binomial rounds, of two runs each, in one exchange.
 FAN_IN = 8
@@ -77,5 +77,6 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows are told apart by their place in the scan, so that repeated ids do no harm.
     """
+    docs = steady(docs)
     kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("row").alias("__row"))
     return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from stripewise.llm.common import cut, stored
+from stripewise.llm.common import cut, steady, stored
 from stripewise.llm.components import components
 
 K = 48  # coordinates
@@ -293,6 +293,7 @@ def near_duplicates(
     equal sets are one class and linked; null ids are never the smallest unless all are null;
     an empty table gives no rows; other columns are not carried, so their names cannot clash.
     """
+    docs = steady(docs)
     signed = cut(signatures(docs, width, text_col))
     nodes = cut(
         signed.where("n > 0").groupBy("same").agg(F.min("row").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig"))
@@ -321,5 +322,6 @@ def near_duplicates(
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component of near_duplicates, all columns as they are."""
+    docs = steady(docs)
     kept = near_duplicates(docs, width, percent, id_col, text_col).where("first").select(F.col("row").alias("__row"))
     return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")

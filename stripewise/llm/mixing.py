@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from stripewise.llm.common import cut
+from stripewise.llm.common import cut, steady
 
 BLOCK_WORDS = 64
 SHARDS = 64
@@ -95,10 +95,12 @@ def _permuted(index: pd.Series, n: pd.Series, key: pd.Series) -> pd.Series:
 
 @dataclass
 class Mix:
-    """documents: doc_id, row, source, size (words), source_size, target.
+    """docs: the table mixed, its rows numbered by their place.
+    documents: doc_id, row, source, size (words), source_size, target.
     pieces: shard, slot, source, block, doc_id, row, start, length: the mix, in words of the
     documents; slots count the blocks of an output shard, in mixed order."""
 
+    docs: DataFrame
     documents: DataFrame
     pieces: DataFrame
 
@@ -128,7 +130,7 @@ def mix_sources(
     is a source of its own; repeated rows and null ids are told apart by their place; an empty
     table gives no rows; other columns are not carried, so their names cannot clash.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, steady(docs)
     # A source's key: null apart from any string.
     sized = cut(
         docs.select(
@@ -202,7 +204,7 @@ def mix_sources(
     mixed = slots.join(parts, ["key", "block"]).select(
         "shard", "slot", "source", "block", "doc_id", "row", "start", "length"
     )
-    return Mix(sized.join(sources, "key").select("doc_id", "row", "source", "size", "source_size", "target"), mixed)
+    return Mix(docs, sized.join(sources, "key").select("doc_id", "row", "source", "size", "source_size", "target"), mixed)
 
 
 def taken_words(mix: Mix) -> DataFrame:
@@ -211,10 +213,11 @@ def taken_words(mix: Mix) -> DataFrame:
     return mix.documents.join(taken, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
 
 
-def mixed_documents(docs: DataFrame, mix: Mix, text_col: str = "text") -> DataFrame:
-    """docs as the mix takes them, with the columns of docs: a row for each time that some of a
-    text is taken, holding the words taken that often, in order and with the spaces behind
-    them. docs must be the table, read alike, that the mix was made of."""
+def mixed_documents(mix: Mix, text_col: str = "text") -> DataFrame:
+    """The documents as the mix takes them, with all their columns: a row for each time that
+    some of a text is taken, holding the words taken that often, in order and with the spaces
+    behind them."""
+    docs = mix.docs
     times = mix.pieces.groupBy("row", "start", "length").count()
     took = times.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "length", "count"))).alias("__took"))
     rows = docs.withColumn("__row", F.monotonically_increasing_id()).join(took.withColumnRenamed("row", "__row"), "__row")

@@ -28,6 +28,10 @@ DIGIT_NAMES = {
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
+# Endings of hosts that a spoken address may have.
+SPOKEN_ENDINGS = frozenset(
+    "com org net edu gov mil int info biz io co me tv eu us uk ie de at ch li fr be lu nl es pt it mx ar cl pe br ca au nz in jp cn ru pl se no dk fi cz gr test example invalid".split()
+)
 AT = r"(?:at|arroba|bei|chez|@)"
 DOT = r"(?:dot|punkt|punto|point|\.)"
 SPOKEN_DOT = r"(?:dot|punkt|punto|point)"
@@ -135,7 +139,7 @@ def _spoken_mail(text: str) -> Iterator[tuple[int, int, str]]:
             left = word - len(head) + d.start()
         name = text[word:begin]
         tld = re.split(r"[ .]", m[0])[-1]
-        if tld.isalpha() and 2 <= len(tld) <= 12 and (dots or edits or re.match(r"[A-Za-z][\w-]*[._][A-Za-z0-9]", name)):
+        if tld.lower() in SPOKEN_ENDINGS and (dots or edits or re.match(r"[A-Za-z][\w-]*[._][A-Za-z0-9]", name)):
             yield from edits
             yield (begin, end, "@")
             yield from ((d.start(), d.end(), ".") for d in dots)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stripewise.llm.common import cut, shared_dir
+from stripewise.llm.common import cut, shared_dir, steady
 
 PACKAGE_BYTES = 32 << 20
 DATE = "2024-01-01T00:00:00Z"  # pages carry no time of their own
@@ -240,7 +240,7 @@ def typed_pages(pages: DataFrame, min_bytes: int, id_col: str, url_col: str, htm
     by Spark where a digest is hot.
     """
     raw = F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8")
-    rows = pages.select(
+    rows = steady(pages).select(
         F.col(id_col).alias("page_id"),
         F.col(url_col).cast("string").alias("url"),
         raw.alias("payload"),
