@@ -38,7 +38,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes of each text, once for each time that it takes them."""
-    return mixed_documents(docs, mix_sources(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return mixed_documents(mix_sources(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
