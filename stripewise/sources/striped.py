@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 from pyspark.sql.types import StructType
 
@@ -18,7 +19,10 @@ class StripePartition(InputPartition):
 class StripedSource(DataSource):
     """Format `stripewise`. Options: path (as write_striped leaves it), zones (JSON: column ->
     stripe -> [min, max], a bounded summary of each stripe) and stripes (their number, the tail
-    included). Needs spark.sql.python.filterPushdown.enabled."""
+    included). Needs spark.sql.python.filterPushdown.enabled.
+
+    Spark keeps the filters pushed into a loaded frame with the frame, also for later queries
+    on it, so a frame serves one filter: use filtered(), which loads anew each time."""
 
     @classmethod
     def name(cls) -> str:
@@ -58,6 +62,8 @@ class StripedReader(DataSourceReader):
         import pyarrow.dataset as ds
         from pyarrow import fs
 
+        if partition is None:  # what Spark makes of no partitions at all
+            return
         path = f"{self.path}/stripe_id={partition.stripe}"
         files, inner = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
         if files.get_file_info(inner).type == fs.FileType.NotFound:
@@ -65,6 +71,12 @@ class StripedReader(DataSourceReader):
         yield from ds.dataset(inner, filesystem=files, format="parquet").to_batches(columns=self.names)
 
 
+def filtered(spark: SparkSession, condition: Column, **options: str) -> DataFrame:
+    """The rows of a striped table that meet a condition, from a frame of its own."""
+    spark.dataSource.register(StripedSource)
+    return spark.read.format(StripedSource.name()).options(**options).load().where(condition)
+
+
 def zone_option(zones_by_column: dict) -> str:
     """The zones option from zone maps (column -> DataFrame of stripe_id, min, max): two values a
     stripe, for numbers and text."""
