@@ -201,7 +201,8 @@ def mix_sources(
         .select("key", "source", "doc_id", "row", F.explode(F.transform(cuts, piece)).alias("p"))
         .select("key", "source", "doc_id", "row", "p.block", "p.start", "p.length")
     )
-    mixed = slots.join(parts, ["key", "block"]).select(
+    # The planner takes the slots for as few as the rows that they are made from: no broadcast.
+    mixed = slots.hint("merge").join(parts, ["key", "block"]).select(
         "shard", "slot", "source", "block", "doc_id", "row", "start", "length"
     )
     return Mix(docs, sized.join(sources, "key").select("doc_id", "row", "source", "size", "source_size", "target"), mixed)
