@@ -10,7 +10,7 @@ import numpy as np
 #: The pattern by which byte-level BPE of this family splits text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words that a Python worker remembers the ids of; then it forgets them all.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 _SPACED = re.compile(r" (?:\s|\Z)")
 _BREAK = re.compile(r" (?=\S)")
