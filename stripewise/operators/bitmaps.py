@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from stripewise.functions import codecs
+
 
 def _by_pos():
     return Window.partitionBy("bitmap_id").orderBy("pos")
@@ -86,3 +91,45 @@ def roaring_size(bits: DataFrame) -> DataFrame:
     )
     least = F.least(2 * F.col("n"), F.lit(8192), 2 + 4 * F.col("runs"))
     return chunks.groupBy("bitmap_id").agg(F.sum(least).alias("roaring_bytes"))
+
+
+def packed(bits: DataFrame) -> DataFrame:
+    """(bitmap_id, payload): each bitmap as bytes, a bit count and then the bits, for keeping
+    in a table. A task holds one bitmap at a time."""
+    kind = bits.schema["bitmap_id"].dataType.simpleString()
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        payload = codecs.dense_encode(group.sort_values("pos")["bit"].to_numpy())
+        return pd.DataFrame({"bitmap_id": group["bitmap_id"].iloc[:1], "payload": [payload]})
+
+    return bits.groupBy("bitmap_id").applyInPandas(pack, f"bitmap_id {kind}, payload binary")
+
+
+def unpacked(stored: DataFrame) -> DataFrame:
+    """(bitmap_id, pos, bit) of packed bitmaps."""
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def unpack(payload: pd.Series) -> pd.Series:
+        return payload.map(lambda p: codecs.dense_decode(p).astype("int32"))
+
+    return from_bits(stored.select("bitmap_id", unpack("payload").alias("bits")))
+
+
+def codec_sizes(values: DataFrame, num_stripes: int, parts: int = 64) -> DataFrame:
+    """One row of bytes: bitpacked, rle (raw and zstd) of the stripe sets (bitmap_id, stripes),
+    laid end to end within each of some parts and added up."""
+
+    def size(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("bitmap_id")
+        ones = np.zeros((len(group), max(1, num_stripes)), np.uint8)
+        for i, s in enumerate(group["stripes"]):
+            ones[i, np.asarray(s, dtype=np.int64)] = 1
+        plain = np.packbits(ones.ravel(), bitorder="little").tobytes()
+        rle = codecs.RleBitmap(ones.ravel()).encode()
+        return pd.DataFrame({"a": [len(codecs.compress(plain))], "b": [len(rle)], "c": [len(codecs.compress(rle))]})
+
+    part = F.pmod(F.xxhash64("bitmap_id"), F.lit(parts)).alias("part")
+    each = values.groupBy(part).applyInPandas(size, "a long, b long, c long")
+    return each.agg(
+        F.sum("a").alias("bitpacked_compressed_size"), F.sum("b").alias("rle_size"), F.sum("c").alias("rle_compressed_size")
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stripewise.operators import bloom, cuckoo, truth, xor8, zonemap
-from stripewise.operators.bitmaps import bitpacked_size, from_stripes, measures, roaring_size
+from stripewise.operators.bitmaps import bitpacked_size, codec_sizes, from_stripes, measures, roaring_size
 from stripewise.operators.columns import compressed_size
 from stripewise.operators.stripes import with_row_id
 
@@ -194,11 +194,15 @@ def bitmap_stats(striped: DataFrame, column: str, num_stripes: int) -> dict[str,
     bits = from_stripes(sets, num_stripes)
     m = measures(bits).agg(F.count("*"), F.avg("density"), F.avg("clustering")).first()
     r = roaring_size(bits).agg(F.sum("roaring_bytes")).first()[0]
+    c = codec_sizes(sets, num_stripes).first()
     return {
         "bitmap_density": m[1] or 0.0,
         "bitmap_clustering": m[2] or 0.0,
         "bitmap_bitpacked_size": bitpacked_size(m[0], num_stripes),
+        "bitmap_bitpacked_compressed_size": c[0] or 0,
         "bitmap_roaring_individual_size": r or 0,
+        "bitmap_rle_size": c[1] or 0,
+        "bitmap_rle_compressed_size": c[2] or 0,
     }
 
 

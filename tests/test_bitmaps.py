@@ -93,3 +93,8 @@ def test_gap_list_and_numbers():
     assert codecs.put_number(-1, "i8") == b"\xff" * 8 and len(codecs.put_number(1.5, "f4")) == 4
     with pytest.raises(ValueError):
         codecs.varint(-1)
+
+
+def test_packed(bits):
+    back = {(r.bitmap_id, r.pos): r.bit for r in bitmaps.unpacked(bitmaps.packed(bits)).collect()}
+    assert back == {(r.bitmap_id, r.pos): r.bit for r in bits.collect()}

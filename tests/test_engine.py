@@ -90,6 +90,18 @@ def test_report(spark, tmp_path):
     assert {r.scan_rate_percent for r in only.collect()} == {-1.0}
 
 
+def test_command_line(spark, tmp_path, monkeypatch):
+    from stripewise import __main__ as cli
+
+    monkeypatch.setattr(evaluate, "usual_builders", lambda: [evaluate.zone_map_builder()])
+    (tmp_path / "a.csv").write_text("x,y\n" + "".join(f"{i % 9},s{i % 4}\n" for i in range(100)))
+    for source in (["--input-csv", str(tmp_path / "a.csv"), "--columns-to-test", "x"], ["--generate-num-values", "100", "--num-unique-values", "9"]):
+        args = cli.arguments([*source, "--num-rows-per-stripe-to-test", "10,20", "--num-lookups", "20", "--test-cases", "negative", "--sorting", "by_cardinality", "--output-csv", str(tmp_path / "out")])
+        assert [r.num_stripes for r in cli.run(spark, args).orderBy("num_rows_per_stripe").collect()] == [10, 5]
+    with pytest.raises(SystemExit):
+        cli.arguments([])
+
+
 def test_streaming(spark, tmp_path):
     s = column(spark, list(range(60)), k=10)
     s.write.parquet(str(tmp_path / "in"))
