@@ -34,19 +34,33 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a compressed Parquet table in the shared folder, for wide rows."""
-    path = f"{shared_dir(df.sparkSession)}/stripewise-{name}-{uuid.uuid4().hex}"
+    """df as a compressed Parquet table in the shared folder, for wide rows; it is deleted when
+    the driver's JVM ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stripewise-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    delete_at_end(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
 
 
 def steady(df: DataFrame) -> DataFrame:
     """df such that monotonically_increasing_id() numbers its rows alike in every job: as it is
-    where it only reads files (or a local list), projected and filtered; any other is stored
-    first, since a shuffle may deal its rows out anew."""
+    where it only reads files, projected and filtered; any other is stored
+    first, since a shuffle may deal its rows out anew.
+
+    Spark cuts files by the number of cores at hand, which changes as executors come and go;
+    so where the session leaves spark.sql.files.minPartitionNum unset it is set once."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(max(1, spark.sparkContext.defaultParallelism)))
     plan = df._jdf.queryExecution().optimizedPlan()
     names = {m[1] for m in (re.match(r"[\s:+\-]*'?(\w+)", x) for x in plan.toString().splitlines() if x.strip()) if m}
-    if names <= {"Project", "Filter", "Relation", "LocalRelation", "Range"} and plan.deterministic():
+    if names <= {"Project", "Filter", "Relation"} and plan.deterministic():
         return df
     return stored(df, "rows")
 

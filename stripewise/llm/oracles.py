@@ -59,6 +59,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+NEAR_COPIES = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(string_split_regex(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 1, 2)),
+           lambda i: list_aggregate(list_slice(w, i, i + 2), 'string_agg', ' '))) AS shingle
+  FROM t WHERE len(w) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 85 * (a.n + b.n - k)
+), r AS (
+  SELECT doc_id AS x, doc_id AS y FROM t UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x
+), c AS (
+  SELECT x, min(y) AS component_id FROM r GROUP BY x
+)
+SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, t.doc_id = component_id AS kept
+FROM t JOIN c ON c.x = t.doc_id LEFT JOIN n ON n.doc_id = t.doc_id
+"""
+
 WARC = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 h AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex,
@@ -76,5 +101,6 @@ SELECT page_id, payload_bytes, payload_digest,
 ORACLES: dict[str, str] = {
     "op3_warc": WARC,
     "op6_exact_dedup": EXACT_DEDUP,
+    "op9_minhash": NEAR_COPIES,
     "op10_quality_rules": QUALITY_RULES,
 }

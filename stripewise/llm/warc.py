@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stripewise.llm.common import cut, shared_dir, steady
+from stripewise.llm.common import cut, delete_at_end, shared_dir, steady
 
 PACKAGE_BYTES = 32 << 20
 DATE = "2024-01-01T00:00:00Z"  # pages carry no time of their own
@@ -393,6 +393,10 @@ def read_archives(packages: DataFrame, payloads: bool = True, url_prefix: str |
 
 
 def archive_folder(spark: SparkSession) -> str:
-    """A fresh place for packages in the cluster's shared folder."""
+    """A fresh place for packages in the cluster's shared folder, cleared when the driver's JVM
+    ends. Packages are written and read through pyarrow.fs, so the folder must be in a file
+    system that it knows (a mount, HDFS, S3, GCS)."""
     base = shared_dir(spark)
-    return f"{base if '://' in base else 'file://' + base}/warc-{uuid.uuid4().hex}"
+    path = f"{base if '://' in base else 'file://' + base}/warc-{uuid.uuid4().hex}"
+    delete_at_end(spark, path)
+    return path
