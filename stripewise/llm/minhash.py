@@ -20,9 +20,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from stripewise.llm.common import cut, steady, stored
@@ -33,6 +32,7 @@ M = 28  # that a pair must agree in
 NEAR = 16  # that a class must agree in with a hub to be in its cluster
 BLOCK = 256  # classes of a cluster in a block
 CHUNK_BYTES = 2 << 20
+REMEMBERED = 100_000  # words whose hashes a Python worker keeps; then it forgets them all
 
 _A = np.random.default_rng(5).integers(1, 2**63, K, dtype=np.uint64) | np.uint64(1)
 _WORDS: dict[bytes, int] = {}
@@ -43,7 +43,7 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
     known, digest = _WORDS, xxhash.xxh3_64_intdigest
-    if len(known) > 500_000:
+    if len(known) > REMEMBERED:
         known.clear()
     out = []
     for w in words:
@@ -137,29 +137,26 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, text_col: str) -> Data
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                raw = [shingle_set(t, width).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary())], names=["node", "hashes"])
+                made = [shingle_set(t, width).view(np.int64) for t in part.column(1).to_pylist()]
+                offsets = pa.array(np.cumsum([0] + [len(h) for h in made]), pa.int32())
+                hashes = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(made) if made else [], pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), hashes], names=["node", "hashes"])
 
     rows = _raw(docs, text_col).join(wanted.select(F.col("node").alias("row")), "row", "left_semi")
-    return rows.mapInArrow(make, "node long, hashes binary")
+    return rows.mapInArrow(make, "node long, hashes array<long>")
 
 
-@F.pandas_udf(T.IntegerType())
-def _agree(a: pd.Series, b: pd.Series) -> pd.Series:
-    if not len(a):
-        return pd.Series([], dtype="int32")
-    return pd.Series((np.stack(a.to_numpy()) == np.stack(b.to_numpy())).sum(axis=1).astype("int32"))
+def _agree(a: str, b: str) -> Column:
+    """Coordinates that two signatures have in common."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
 
 
-def _similar_udf(percent: int):
-    @F.pandas_udf(T.BooleanType())
-    def check(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(
-            [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b, strict=True)],
-            dtype="bool",
-        )
-
-    return check
+def _alike(percent: int) -> Column:
+    """100 * intersection >= percent * union, of the sets hashes_a and hashes_b."""
+    a, b = F.size("hashes_a"), F.size("hashes_b")
+    both = F.size(F.array_intersect("hashes_a", "hashes_b"))
+    near = 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    return F.when(near, 100 * both >= percent * (a + b - both)).otherwise(False)
 
 
 def _with(pairs: DataFrame, payload: DataFrame, column: str) -> DataFrame:
@@ -182,8 +179,7 @@ def _forest(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> list[tuple
     may &= ~(left["linked"].to_numpy()[:, None] & right["linked"].to_numpy()[None, :])
     i, j = np.nonzero(may)
     order = np.argsort(-agree[i, j].astype(np.int16), kind="stable")
-    sets_a = [np.frombuffer(x, np.uint64) for x in left["hashes"]]
-    sets_b = [np.frombuffer(x, np.uint64) for x in right["hashes"]]
+    sets_a, sets_b = ([np.asarray(x, np.int64).view(np.uint64) for x in side["hashes"]] for side in (left, right))
     top: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -250,8 +246,7 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, width: int, text_col:
     wanted = tests.select(F.explode(F.array("a", "b")).alias("node")).unionByName(clusters.select("node")).distinct()
     sets = stored(_sets(docs, wanted, width, text_col), "shingles")
 
-    check = _similar_udf(percent)
-    first = cut(_with(tests, sets, "hashes").where(check("hashes_a", "hashes_b")).select("a", "b"))
+    first = cut(_with(tests, sets, "hashes").where(_alike(percent)).select("a", "b"))
 
     # Within a cluster: those linked to the hub first, in blocks; blocks of linked ones alone
     # need no check against each other.
@@ -307,8 +302,11 @@ def near_duplicates(
         .select("row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("top")).otherwise(-1 - F.col("row")).alias("top"))
         .join(ids, "row")
     )
-    least = rows.groupBy("top").agg(
-        F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("first_row")
+    # Cut, so that the join below shuffles both sides and Spark can split a hot component.
+    least = cut(
+        rows.groupBy("top").agg(
+            F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("first_row")
+        )
     )
     return rows.join(least, "top").select(
         "doc_id",

@@ -20,7 +20,7 @@ SAMPLE_DOCS = 4000  # labelled documents that the model is fitted on at most
 STEPS = 250
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
