@@ -11,7 +11,8 @@ from stripewise.llm.common import cut
 def _large(links: DataFrame) -> DataFrame:
     """Each node hands its larger neighbours to the least node that it sees."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+    # Cut, so that the join shuffles both sides and Spark can split a node of many links.
+    least = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))
     return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
