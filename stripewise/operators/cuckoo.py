@@ -118,7 +118,7 @@ class Config:
     @property
     def name(self) -> str:
         load = self.load_factor or LOAD_FACTOR[self.slots]
-        return f"CuckooIndex:{self.algorithm.value}:{load:g}:{self.scan_rate:g}"
+        return f"CuckooTable:{self.algorithm.value}:{load:g}:{self.scan_rate:g}"
 
 
 @dataclass(frozen=True)

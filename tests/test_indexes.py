@@ -114,7 +114,7 @@ def test_cuckoo_index(spark, num_values, prefix):
     read = cuckoo.candidates(index, keys).count() / (10_000 * 100)
     assert read <= 0.101 and cuckoo.same_length(index.slots).count() == 0
     assert cuckoo.active_slots(index) == num_values
-    assert config.name == "CuckooIndex:0:0.84:0.1"
+    assert config.name == "CuckooTable:0:0.84:0.1"
 
 
 def test_last_row_is_dropped(spark):
