@@ -204,7 +204,9 @@ def _forest(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> list[tuple
 def links(docs: DataFrame, nodes: DataFrame, percent: int, width: int, text_col: str) -> DataFrame:
     """(a, b): similar pairs of nodes that join all that any similar pairs join."""
     posts = nodes.select("node", F.posexplode("sig").alias("j", "v"))
-    counted = posts.groupBy("j", "v").agg(F.count("*").alias("df")).where("df > 1")
+    # Counts and hubs are cut, so that the joins with them shuffle both sides and Spark can split
+    # a long list.
+    counted = cut(posts.groupBy("j", "v").agg(F.count("*").alias("df")).where("df > 1"))
     shared = posts.join(counted, ["j", "v"])
     ranked = shared.groupBy("node").agg(
         F.sort_array(F.collect_list(F.struct("df", "j", "v"))).alias("p"), F.sum("df").alias("central")
@@ -219,7 +221,7 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, width: int, text_col:
     hubs = lists.groupBy("j", "v").agg(
         F.max(F.struct("central", (-F.col("node")).alias("least"))).alias("top"), F.count("*").alias("size")
     )
-    hubs = hubs.where("size > 1").select("j", "v", (-F.col("top.least")).alias("hub"))
+    hubs = cut(hubs.where("size > 1").select("j", "v", (-F.col("top.least")).alias("hub")))
     met = cut(lists.join(hubs, ["j", "v"]))
 
     held = met.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
