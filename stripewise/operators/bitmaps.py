@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from stripewise.functions import codecs
+from stripewise.operators.stripes import with_row_id
 
 
 def _by_pos():
@@ -29,6 +30,85 @@ def from_stripes(values: DataFrame, num_stripes: int) -> DataFrame:
     )
 
 
+def ones(sets: DataFrame) -> DataFrame:
+    """(bitmap_id, ith, pos, gap) of every one of the stripe sets (bitmap_id, stripes): how many
+    ones lie before it, and the zeros and the one since the last. Rows are the ones, not the bits."""
+    last = lambda i: F.coalesce(F.get("stripes", i - 1), F.lit(-1))
+    each = F.transform(
+        "stripes", lambda p, i: F.struct(i.cast("long").alias("ith"), p.alias("pos"), (p - last(i)).cast("long").alias("gap"))
+    )
+    return sets.select("bitmap_id", F.inline(each))
+
+
+def _closed(sets: DataFrame, num_stripes: int) -> DataFrame:
+    """ones of the sets with a one thought of behind each end."""
+    return ones(sets.select("bitmap_id", F.concat("stripes", F.array(F.lit(num_stripes))).alias("stripes")))
+
+
+def rank_steps(sets: DataFrame, num_stripes: int) -> DataFrame:
+    """(bitmap_id, pos, length, rank): positions pos to pos + length - 1 have rank ones before
+    them. The steps cover each of the num_stripes positions once."""
+    length = F.col("gap") - (F.col("pos") == num_stripes).cast("int")
+    return _closed(sets, num_stripes).select(
+        "bitmap_id", (F.col("pos") - F.col("gap") + 1).alias("pos"), length.alias("length"), F.col("ith").alias("rank")
+    ).where("length > 0")
+
+
+def zero_runs(sets: DataFrame, num_stripes: int) -> DataFrame:
+    """(bitmap_id, ith, pos, length): zeros number ith to ith + length - 1 are at pos and on."""
+    start = F.col("pos") - F.col("gap") + 1
+    return _closed(sets, num_stripes).where("gap > 1").select(
+        "bitmap_id", (start - F.col("ith")).alias("ith"), start.alias("pos"), (F.col("gap") - 1).alias("length")
+    )
+
+
+def _starts_run(p, i):
+    return F.coalesce(F.get("stripes", i - 1) < p - 1, F.lit(True))
+
+
+def set_measures(sets: DataFrame, num_stripes: int) -> DataFrame:
+    """measures of the stripe sets, without their zeros."""
+    n = F.size("stripes")
+    runs = F.size(F.filter("stripes", _starts_run))
+    return sets.select(
+        "bitmap_id",
+        F.lit(num_stripes).cast("long").alias("bits"),
+        n.cast("long").alias("ones"),
+        (n / F.lit(num_stripes)).alias("density"),
+        F.when(n > 0, n / runs).otherwise(0.0).alias("clustering"),
+    )
+
+
+def set_concatenated(sets: DataFrame, num_stripes: int) -> DataFrame:
+    """(bitmap_id, pos, global_pos) of the ones of the bitmaps back to back, by bitmap_id. The
+    bitmaps' numbers come from each partition's count."""
+    numbered = with_row_id(sets, "bitmap_id", name="nth")
+    return numbered.select("bitmap_id", "nth", F.explode("stripes").alias("pos")).select(
+        "bitmap_id", "pos", (F.col("nth") * num_stripes + F.col("pos")).alias("global_pos")
+    )
+
+
+def set_extract(sets: DataFrame, num_stripes: int, offset: int, size: int) -> DataFrame:
+    """extract of the stripe sets: the bits of the slice alone are made."""
+    inside = range(offset, min(offset + size, num_stripes))
+    slots = F.array(*[F.lit(p) for p in inside]).cast("array<int>")
+    return sets.select("bitmap_id", "stripes", F.explode(slots).alias("p")).select(
+        "bitmap_id", (F.col("p") - offset).alias("pos"), F.array_contains("stripes", F.col("p")).cast("int").alias("bit")
+    )
+
+
+def set_roaring_size(sets: DataFrame) -> DataFrame:
+    """roaring_size of the stripe sets."""
+    each = F.transform(
+        "stripes", lambda p, i: F.struct(F.floor(p / 65536).alias("chunk"), (_starts_run(p, i) | (p % 65536 == 0)).cast("int").alias("starts"))
+    )
+    chunks = sets.select("bitmap_id", F.inline(each)).groupBy("bitmap_id", "chunk").agg(
+        F.count("*").alias("n"), F.sum("starts").alias("runs")
+    )
+    least = F.least(2 * F.col("n"), F.lit(8192), 2 + 4 * F.col("runs"))
+    return chunks.groupBy("bitmap_id").agg(F.sum(least).alias("roaring_bytes"))
+
+
 def rank(bits: DataFrame) -> DataFrame:
     """bits with rank: the ones before each position."""
     before = _by_pos().rowsBetween(Window.unboundedPreceding, -1)

@@ -403,6 +403,63 @@ def roaring_size_formula(spark, d):
     return bitmaps.roaring_size(_bits(spark, d)[0])
 
 
+# The whole column: sizes go with the ones, and zeros and ranks are given as runs of positions.
+ONES = f"""{S}, v AS (SELECT DISTINCT value FROM t),
+c AS (SELECT value AS bitmap_id, pos, row_number() OVER w - 1 AS ith, lag(pos, 1, -1) OVER w AS last
+FROM (SELECT value, stripe_id AS pos FROM t UNION ALL SELECT v.value, n.n FROM v, n) WINDOW w AS (PARTITION BY value ORDER BY pos)),
+b AS (SELECT bitmap_id, ith, pos, pos - last AS gap FROM c, n WHERE pos < n.n)"""
+RUNS = "SELECT bitmap_id, count(*) AS ones, count(*) FILTER (ith = 0 OR gap > 1) AS runs FROM b GROUP BY bitmap_id"
+
+
+def _sets(spark, d) -> tuple[DataFrame, int]:
+    """Stripe sets of every customer."""
+    striped, n = orders(spark, d)
+    return truth.value_stripes(striped, "o_custkey").withColumnRenamed("value", "bitmap_id"), n
+
+
+@query(f"WITH {ONES} SELECT bitmap_id, last + 1 AS pos, least(pos, n.n - 1) - last AS length, ith AS rank FROM c, n WHERE last + 1 < n.n")
+def bitmap_rank_all(spark, d):
+    return bitmaps.rank_steps(*_sets(spark, d))
+
+
+@query(f"WITH {ONES} SELECT bitmap_id, ith, pos FROM b")
+def bitmap_select_one_all(spark, d):
+    return bitmaps.ones(_sets(spark, d)[0]).drop("gap")
+
+
+@query(f"WITH {ONES} SELECT bitmap_id, last + 1 - ith AS ith, last + 1 AS pos, pos - last - 1 AS length FROM c WHERE pos - last > 1")
+def bitmap_select_zero_all(spark, d):
+    return bitmaps.zero_runs(*_sets(spark, d))
+
+
+@query(f"WITH {ONES}, r AS ({RUNS}) SELECT bitmap_id, n.n AS bits, ones, ones / n.n AS density, ones / runs AS clustering FROM r, n")
+def bitmap_measures_all(spark, d):
+    return bitmaps.set_measures(*_sets(spark, d))
+
+
+@query(f"""WITH {ONES}, k AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS nth FROM v)
+SELECT bitmap_id, pos, nth * n.n + pos AS global_pos FROM b JOIN k ON k.value = bitmap_id, n""")
+def bitmap_global_all(spark, d):
+    return bitmaps.set_concatenated(*_sets(spark, d))
+
+
+@query(f"WITH {ONES} SELECT bitmap_id, pos, gap FROM b")
+def bitmap_sparse_gaps_all(spark, d):
+    return bitmaps.ones(_sets(spark, d)[0]).drop("ith")
+
+
+@query(f"""WITH {ONES}, p AS (SELECT v.value AS bitmap_id, range AS pos FROM v, range(3, 9), n WHERE range < n.n)
+SELECT bitmap_id, p.pos - 3 AS pos, (b.pos IS NOT NULL)::INT AS bit FROM p LEFT JOIN b USING (bitmap_id, pos)""")
+def bitmap_extract_all(spark, d):
+    return bitmaps.set_extract(*_sets(spark, d), 3, 6)
+
+
+@query(f"""WITH {ONES}, h AS (SELECT bitmap_id, pos // 65536 AS chunk, count(*) AS n, count(*) FILTER (ith = 0 OR gap > 1 OR pos % 65536 = 0) AS runs FROM b GROUP BY 1, 2)
+SELECT bitmap_id, sum(least(2 * n, 8192, 2 + 4 * runs))::BIGINT AS roaring_bytes FROM h GROUP BY bitmap_id""")
+def roaring_size_formula_all(spark, d):
+    return bitmaps.set_roaring_size(_sets(spark, d)[0])
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderkey = 0 THEN 0 ELSE length(ltrim(bin(o_orderkey), '0')) END::INT AS width FROM orders")
 def bit_width(spark, d):
     v = F.col("o_orderkey")

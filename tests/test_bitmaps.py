@@ -98,3 +98,31 @@ def test_gap_list_and_numbers():
 def test_packed(bits):
     back = {(r.bitmap_id, r.pos): r.bit for r in bitmaps.unpacked(bitmaps.packed(bits)).collect()}
     assert back == {(r.bitmap_id, r.pos): r.bit for r in bits.collect()}
+
+
+def test_sets_against_bits(spark):
+    """The whole column from the ones alone, every bit looked at."""
+    n, sets = 9, {1: [0, 1, 2, 7], 10: [8], 11: list(range(9)), 12: [0], 21: [3, 5, 6]}
+    df = spark.createDataFrame(list(sets.items()), "bitmap_id long, stripes array<int>")
+    bits = bitmaps.from_stripes(df, n)
+    rows = lambda d: sorted(tuple(r) for r in d.collect())
+    steps = [(r.bitmap_id, p, r["rank"]) for r in bitmaps.rank_steps(df, n).collect() for p in range(r.pos, r.pos + r.length)]
+    assert sorted(steps) == rows(bitmaps.rank(bits).select("bitmap_id", "pos", "rank"))
+    zeros = [(r.bitmap_id, r.ith + k, r.pos + k) for r in bitmaps.zero_runs(df, n).collect() for k in range(r.length)]
+    assert sorted(zeros) == rows(bitmaps.select(bits, 0))
+    assert rows(bitmaps.ones(df).select("bitmap_id", "ith", "pos")) == rows(bitmaps.select(bits, 1))
+    assert rows(bitmaps.ones(df).select("bitmap_id", "pos", "gap")) == rows(bitmaps.gaps(bits))
+    assert rows(bitmaps.set_measures(df, n)) == rows(bitmaps.measures(bits))
+    assert rows(bitmaps.set_concatenated(df, n)) == rows(bitmaps.concatenated(bits).where("bit = 1").drop("bit"))
+    assert rows(bitmaps.set_extract(df, n, 5, 6)) == rows(bitmaps.extract(bits, 5, 6))
+    assert rows(bitmaps.set_extract(df, n, 12, 3)) == []
+    assert rows(bitmaps.set_roaring_size(df)) == rows(bitmaps.roaring_size(bits))
+
+
+def test_queries_take_every_customer(spark):
+    from stripewise.plans.queries import QUERIES
+
+    d = "/root/testdata/sf0.01"
+    whole = QUERIES["value_stripes"](spark, d).count()
+    for name in ("bitmap_rank_all", "bitmap_select_one_all", "bitmap_measures_all", "bitmap_global_all", "roaring_size_formula_all"):
+        assert QUERIES[name](spark, d).select("bitmap_id").distinct().count() == whole
