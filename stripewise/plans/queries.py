@@ -154,6 +154,19 @@ def truth_stripe_contains(spark, d):
     return truth.stripe_contains(striped, "o_custkey", probes)
 
 
+def _every_pair(striped: DataFrame, n: int) -> DataFrame:
+    """(value, stripe_id): every customer of the stripes with every stripe."""
+    values = truth.pairs(striped, "o_custkey").select("value").distinct()
+    return values.crossJoin(striped.sparkSession.range(n).select(F.col("id").cast("int").alias("stripe_id")))
+
+
+@query(f"""WITH {S}, p AS (SELECT v.value, s.stripe_id FROM (SELECT DISTINCT value FROM t) v, (SELECT DISTINCT stripe_id FROM s) s)
+SELECT p.value, p.stripe_id, t.value IS NOT NULL AS found FROM p LEFT JOIN t USING (value, stripe_id)""")
+def truth_stripe_contains_all(spark, d):
+    striped, n = orders(spark, d)
+    return truth.stripe_contains(striped, "o_custkey", _every_pair(striped, n))
+
+
 def _joined(sets: DataFrame) -> DataFrame:
     return sets.select("value", F.array_join(F.transform("stripes", lambda s: s.cast("string")), ",").alias("stripes"))
 
@@ -189,6 +202,21 @@ def zone_map_probe(spark, d):
     return zonemap.probe(zonemap.build(striped, "o_custkey"), probes)
 
 
+@query(f"""WITH {S}, x AS (SELECT stripe_id, min(o_orderdate) AS lo, max(o_orderdate) AS hi FROM s GROUP BY 1),
+k AS (SELECT DISTINCT o_orderdate AS value FROM orders)
+SELECT value, stripe_id FROM k JOIN x ON value BETWEEN lo AND hi""")
+def zone_map_dates_all(spark, d):
+    keys = tables.parquet(spark, d, "orders").select(F.col("o_orderdate").alias("value"))
+    return zonemap.candidates(zonemap.build(orders(spark, d)[0], "o_orderdate"), keys)
+
+
+@query(f"""WITH {S}, p AS (SELECT v.value, z.* FROM (SELECT DISTINCT value FROM t) v, z)
+SELECT value, stripe_id, value BETWEEN min AND max AS maybe FROM p""")
+def zone_map_probe_all(spark, d):
+    striped, n = orders(spark, d)
+    return zonemap.probe(zonemap.build(striped, "o_custkey"), _every_pair(striped, n))
+
+
 @query(f"WITH {S} SELECT count(*) * 8 AS byte_size FROM z")
 def zone_map_size(spark, d):
     raw, _ = zonemap.sizes(zonemap.build(orders(spark, d)[0], "o_custkey"))
@@ -342,6 +370,39 @@ def scan_rate_widening(spark, d):
     return x.select("k", scan_rate_bits(F.col("least"), F.col("density"), F.col("ones"), 0.01).alias("bits"))
 
 
+@query("""WITH b AS (SELECT range AS n FROM range(65)), f AS (SELECT o_orderkey * 1000003 + 12345 AS fp FROM orders)
+SELECT fp, n::INT AS n, CASE WHEN n >= 64 THEN fp WHEN n = 0 THEN 0 ELSE (fp::HUGEINT % (1::HUGEINT << n::INT))::BIGINT END AS suffix,
+CASE WHEN n = 0 THEN 0 WHEN n >= 64 THEN fp ELSE (fp::HUGEINT // (1::HUGEINT << (64 - n)::INT))::BIGINT END AS prefix FROM f, b""")
+def fingerprint_prefix_suffix_all(spark, d):
+    fps = tables.parquet(spark, d, "orders").select((F.col("o_orderkey") * 1000003 + 12345).alias("fp"))
+    each = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("n"))
+    return each.select("fp", "n", suffix(F.col("fp"), F.col("n")).alias("suffix"), prefix(F.col("fp"), F.col("n")).alias("prefix"))
+
+
+@query("""WITH f AS (SELECT o_orderkey // 8 AS bucket, ('0x' || substr(md5('42:' || o_orderkey), 1, 15))::BIGINT AS fp FROM orders),
+c AS (SELECT bucket, n, count(DISTINCT fp % (1::BIGINT << n::INT)) = count(*) AS differ FROM f, (SELECT range AS n FROM range(0, 61)) GROUP BY bucket, n)
+SELECT bucket, min(n)::INT AS bits FROM c WHERE differ GROUP BY bucket""")
+def min_collision_free_bits_all(spark, d):
+    from stripewise.functions.hashing import md5_hash
+
+    rows = tables.parquet(spark, d, "orders")
+    rows = rows.select(F.expr("o_orderkey div 8").alias("bucket"), md5_hash(42, F.col("o_orderkey")).alias("fp"))
+    grouped = rows.groupBy("bucket").agg(F.collect_list("fp").alias("fps"))
+    return grouped.select("bucket", collision_free_bits(F.col("fps")).cast("int").alias("bits"))
+
+
+@query("""WITH x AS (SELECT o_orderkey AS k, (o_orderkey % 5)::INT AS least, (1 + o_orderkey % 97) / 97.0::DOUBLE AS density, (1 + o_orderkey % 89) / 89.0::DOUBLE AS ones FROM orders)
+SELECT k, greatest(least, (SELECT min(n) FROM range(66) r(n) WHERE 2 * density * ones / 2::DOUBLE ** n <= 0.01))::INT AS bits FROM x""")
+def scan_rate_widening_all(spark, d):
+    x = tables.parquet(spark, d, "orders").select(
+        F.col("o_orderkey").alias("k"),
+        (F.col("o_orderkey") % 5).cast("int").alias("least"),
+        ((1 + F.col("o_orderkey") % 97) / F.lit(97.0)).alias("density"),
+        ((1 + F.col("o_orderkey") % 89) / F.lit(89.0)).alias("ones"),
+    )
+    return x.select("k", scan_rate_bits(F.col("least"), F.col("density"), F.col("ones"), 0.01).alias("bits"))
+
+
 BITS = f"""{S}, b AS (SELECT v.value AS bitmap_id, x.stripe_id AS pos, (t.value IS NOT NULL)::INT AS bit
 FROM (SELECT DISTINCT value FROM t WHERE value % 10 = 1) v CROSS JOIN (SELECT DISTINCT stripe_id FROM s) x LEFT JOIN t ON t.value = v.value AND t.stripe_id = x.stripe_id)"""
 
@@ -485,6 +546,15 @@ def bloom_probe(spark, d):
     return bloom.candidates(bloom.build(orders(spark, d)[0], "o_custkey", 10, md5=True), keys, 10, md5=True)
 
 
+@query(f"""WITH {BLOOM}, q AS (SELECT value, {MD5.format(1)} AS one, {MD5.format(2)} AS two FROM (SELECT c_custkey AS value FROM customer UNION SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)),
+a AS (SELECT DISTINCT value, stripe_id, ((one + i * two) % m)::INT AS pos FROM q, m, (SELECT range AS i FROM range(6)))
+SELECT a.value, a.stripe_id FROM a LEFT JOIN p ON p.stripe_id = a.stripe_id AND p.pos = a.pos GROUP BY 1, 2 HAVING count(*) = count(p.pos)""")
+def bloom_probe_all(spark, d):
+    keys = tables.parquet(spark, d, "customer").select(F.col("c_custkey").alias("value"))
+    keys = keys.union(tables.parquet(spark, d, "orders").select("o_custkey"))
+    return bloom.candidates(bloom.build(orders(spark, d)[0], "o_custkey", 10, md5=True), keys, 10, md5=True)
+
+
 @query()
 def bloom_eval_negative(spark, d):
     striped, n = orders(spark, d)
