@@ -59,6 +59,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+#: The same with the values of quality_rules.RULES.
+_JUDGED = QUALITY_RULES.index("       AND word_chars")
+QUALITY_RULES_PUBLISHED = QUALITY_RULES[:_JUDGED] + """       AND word_chars::DOUBLE / n_words BETWEEN 3 AND 10 AND n_symbols::DOUBLE / n_words <= 0.1
+       AND n_stops::DOUBLE / n_words >= 0.01 AND n_letters::DOUBLE / n_words >= 0.8
+       AND n_dup_lines::DOUBLE / n_lines <= 0.3 AND n_ellipses::DOUBLE / n_lines <= 0.3
+       AND n_bullets::DOUBLE / n_lines <= 0.9 AS kept
+FROM b
+"""
+
 NEAR_COPIES = r"""
 WITH RECURSIVE t AS (
   SELECT doc_id, list_filter(string_split_regex(
@@ -103,4 +112,5 @@ ORACLES: dict[str, str] = {
     "op6_exact_dedup": EXACT_DEDUP,
     "op9_minhash": NEAR_COPIES,
     "op10_quality_rules": QUALITY_RULES,
+    "op10_quality_rules_published": QUALITY_RULES_PUBLISHED,
 }

@@ -33,8 +33,20 @@ class Rule:
     high: float | None = None
 
 
-#: Judged besides the base rules; a ratio over nothing counts as passed.
+#: Judged besides the base rules; a ratio over nothing counts as passed. Values as usual in
+#: published filters of web text.
 RULES = (
+    Rule("word_length", "mean_word_length", 3.0, 10.0),
+    Rule("symbols", "symbol_ratio", None, 0.1),
+    Rule("stop_words", "stop_word_ratio", 0.01, None),
+    Rule("repeated_lines", "dup_line_ratio", None, 0.3),
+    Rule("ellipses", "ellipsis_line_ratio", None, 0.3),
+    Rule("bullets", "bullet_line_ratio", None, 0.9),
+    Rule("letters", "letter_word_ratio", 0.8, None),
+)
+
+#: The loose table that the SQL of op10_quality_rules has.
+LOOSE_RULES = (
     Rule("word_length", "mean_word_length", 1.5, 25.0),
     Rule("symbols", "symbol_ratio", None, 0.9),
     Rule("stop_words", "stop_word_ratio", 0.01, None),

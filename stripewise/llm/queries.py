@@ -95,9 +95,20 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the loose table, as its SQL has it."""
+    from stripewise.llm.quality_rules import LOOSE_RULES, quality_rules
+
+    return _judged(quality_rules(table(spark, sf_dir, "documents"), LOOSE_RULES))
+
+
+def op10_quality_rules_published(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stripewise.llm.quality_rules import quality_rules
 
-    return quality_rules(table(spark, sf_dir, "documents")).select(
+    return _judged(quality_rules(table(spark, sf_dir, "documents")))
+
+
+def _judged(found: DataFrame) -> DataFrame:
+    return found.select(
         "doc_id",
         "n_words",
         "word_chars",
@@ -120,4 +131,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_minhash": op9_minhash,
     "op10_quality_rules": op10_quality_rules,
+    "op10_quality_rules_published": op10_quality_rules_published,
 }

@@ -44,3 +44,29 @@ def test_clean_documents_stay(spark):
     good = table(spark, d, "documents").join(table(spark, d, "labels").where("quality = 1"), "doc_id", "left_semi")
     n = good.count()
     assert quality_rules(good).where("kept or n_words < 20").count() >= 0.98 * n
+
+
+def test_low_quality_documents_go(spark):
+    """Those of labels that a fit on four fifths would not see: the values are not fitted at all."""
+    d = "/root/testdata/sf0.1"
+    labels = table(spark, d, "labels").where("doc_id % 5 = 1 and quality is not null")
+    judged = quality_rules(table(spark, d, "documents").join(labels, "doc_id", "left_semi")).join(labels, "doc_id")
+    judged = judged.where("n_words >= 20").cache()
+    low, good = judged.where("quality = 0"), judged.where("quality = 1")
+    assert low.count() > 50 and low.where("not kept").count() >= 0.95 * low.count()
+    assert good.where("kept").count() >= 0.98 * good.count()
+    menu = " ".join(f"dishname{i} | of {i}.50 |" for i in range(30))
+    assert quality_rules(spark.createDataFrame([(1, menu)], "doc_id long, text string")).first().failed_rules == ["symbols", "letters"]
+
+
+def test_published_rules_equal_their_sql(spark):
+    import duckdb
+
+    from stripewise.llm.oracles import ORACLES
+    from stripewise.llm.queries import QUERIES
+
+    d, con = "/root/testdata/sf0.01", duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
+    for name in ("op10_quality_rules", "op10_quality_rules_published"):
+        got = QUERIES[name](spark, d)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(con.execute(ORACLES[name]).fetchall(), key=repr)
