@@ -2,7 +2,7 @@
 
 Every class of documents with equal shingle sets has a signature of K coordinates and is
 posted under (coordinate, value) pairs. A pair of classes as similar as asked for agrees in M
-coordinates or more but for a chance of about 1e-6, so it meets under one of the K - M + 1
+coordinates or more but for a chance of MISS at most (see needed), so it meets under one of the K - M + 1
 rarest coordinates of either: only those are posted, the longer lists being skipped.
 
 A posting list is not paired with itself. Its most central class, the one whose values are
@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -28,7 +30,7 @@ from stripewise.llm.common import cut, steady, stored
 from stripewise.llm.components import components
 
 K = 48  # coordinates
-M = 28  # that a pair must agree in
+MISS = 2e-6  # chance that a pair at the threshold is lost
 NEAR = 16  # that a class must agree in with a hub to be in its cluster
 BLOCK = 256  # classes of a cluster in a block
 CHUNK_BYTES = 2 << 20
@@ -38,6 +40,18 @@ _A = np.random.default_rng(5).integers(1, 2**63, K, dtype=np.uint64) | np.uint64
 _WORDS: dict[bytes, int] = {}
 
 
+@cache
+def needed(percent: int) -> int:
+    """M: the most coordinates such that a pair just as similar agrees in fewer with a chance
+    of MISS at most. K coordinates cannot hold that for percentages under 24."""
+    p, below, m = percent / 100, 0.0, 0
+    while m < K and (below := below + comb(K, m) * p**m * (1 - p) ** (K - m)) <= MISS:
+        m += 1
+    if not m:
+        raise ValueError(f"{K} coordinates are too few to find pairs alike in {percent} percent")
+    return m
+
+
 def _word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes; those of frequent words are remembered in a bounded table."""
     import xxhash
@@ -175,7 +189,7 @@ def _forest(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> list[tuple
         agree += a_sig[:, j, None] == b_sig[None, :, j]
     na, nb = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
     ids_a, ids_b = left["node"].to_numpy(), right["node"].to_numpy()
-    may = (agree >= M) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (ids_a[:, None] != ids_b[None, :])
+    may = (agree >= needed(percent)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (ids_a[:, None] != ids_b[None, :])
     may &= ~(left["linked"].to_numpy()[:, None] & right["linked"].to_numpy()[None, :])
     i, j = np.nonzero(may)
     order = np.argsort(-agree[i, j].astype(np.int16), kind="stable")
@@ -203,6 +217,7 @@ def _forest(left: pd.DataFrame, right: pd.DataFrame, percent: int) -> list[tuple
 
 def links(docs: DataFrame, nodes: DataFrame, percent: int, width: int, text_col: str) -> DataFrame:
     """(a, b): similar pairs of nodes that join all that any similar pairs join."""
+    m = needed(percent)
     posts = nodes.select("node", F.posexplode("sig").alias("j", "v"))
     # Counts and hubs are cut, so that the joins with them shuffle both sides and Spark can split
     # a long list.
@@ -211,7 +226,7 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, width: int, text_col:
     ranked = shared.groupBy("node").agg(
         F.sort_array(F.collect_list(F.struct("df", "j", "v"))).alias("p"), F.sum("df").alias("central")
     )
-    room = F.lit(K - M + 1 - K) + F.size("p")  # what single values leave of the prefix
+    room = F.lit(1 - m) + F.size("p")  # what single values leave of the prefix
     lists = cut(
         ranked.where(room > 0)
         .select("node", "central", F.explode(F.slice("p", F.lit(1), F.greatest(room, F.lit(1)))).alias("p"))
@@ -239,10 +254,10 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, width: int, text_col:
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
-    apart = cut(_with(apart, nodes, "sig").where(_agree("sig_a", "sig_b") >= M).select("a", "b"))
+    apart = cut(_with(apart, nodes, "sig").where(_agree("sig_a", "sig_b") >= m).select("a", "b"))
 
     # The full sets of all classes that any check needs.
-    tests = near.where(F.col("agree") >= M).select("a", "b").unionByName(apart)
+    tests = near.where(F.col("agree") >= m).select("a", "b").unionByName(apart)
     sizes = near.groupBy("b").agg(F.count("*").alias("size"))
     clusters = near.join(sizes.where("size > 1"), "b").select(F.col("b").alias("hub"), F.col("a").alias("node"))
     wanted = tests.select(F.explode(F.array("a", "b")).alias("node")).unionByName(clusters.select("node")).distinct()

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -5,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from stripewise.llm import minhash
 from stripewise.llm.common import table
 from stripewise.llm.components import components
 from stripewise.llm.minhash import drop_near_copies, near_duplicates, similar
@@ -115,3 +117,22 @@ def test_components(spark):
                 stack += near[x]
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("percent", [24, 30, 50, 70, 80, 85, 95, 100])
+def test_needed_holds_the_bound(percent):
+    """By the exact binomial tail, and one more coordinate would break the bound."""
+    m, p = minhash.needed(percent), percent / 100
+    tail = lambda k: sum(math.comb(minhash.K, i) * p**i * (1 - p) ** (minhash.K - i) for i in range(k))
+    assert 1 <= m <= minhash.K and tail(m) <= minhash.MISS
+    assert m == minhash.K or tail(m + 1) > minhash.MISS
+
+
+def test_too_low_a_percentage(docs_of):
+    with pytest.raises(ValueError):
+        near_duplicates(docs_of([(1, "a b c", "s"), (2, "a b d", "s")]), 2, 10)
+
+
+def test_low_percentage_against_all_pairs(docs_of, copies):
+    got = near_duplicates(docs_of([(*r, "s") for r in copies[:160]], parts=4), 3, 55)
+    assert result(got) == brute(copies[:160], 3, 55)
