@@ -2,7 +2,8 @@
 
 A package holds `archive/data.warc.gz` (one gzip member per WARC record), `indexes/index.cdxj`
 (a line per record: key, time, and JSON with the record's place) and `datapackage.json`, all as
-stored members, so that a record's bytes lie at a fixed place in the package.
+stored members, so that a record's bytes lie at a fixed place in the package. The reader takes
+any archives and indexes that a package's directory lists, plain or gzipped indexes alike.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import types as T
 from stripewise.llm.common import cut, delete_at_end, shared_dir, steady
 
 PACKAGE_BYTES = 32 << 20
+RANGE_BYTES = 4 << 20  # read at once where records are neighbours
 DATE = "2024-01-01T00:00:00Z"  # pages carry no time of their own
 DATA, INDEX, PACKAGE = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
 
@@ -174,15 +176,21 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _record(page_id, url: str, payload: bytes, refers_to, revisit: bool, order: int) -> bytes:
-    """A WARC record as a gzip member. A revisit carries the HTTP head and the digest and
-    length of the payload, but not the payload."""
+def _record_id(page_id, row: int) -> str:
+    """Of the row's place in the table, so that no two rows share one."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{row}')}>"
+
+
+def _record(page_id, row: int, url: str, payload: bytes, first: dict | None) -> bytes:
+    """A WARC record as a gzip member. A revisit (first: page_id and row of the response) carries
+    the HTTP head and the digest and length of the payload, but not the payload."""
+    revisit = first is not None
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = head if revisit else head + payload
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{order}')}>",
+        f"WARC-Record-ID: {_record_id(page_id, row)}",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {url}",
         f"WARC-Payload-Digest: sha1:{digest32(payload)}",
@@ -194,8 +202,9 @@ def _record(page_id, url: str, payload: bytes, refers_to, revisit: bool, order:
         lines.append(f"X-Page-ID: {page_id}")
     if revisit:
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        if refers_to is not None:
-            lines.append(f"X-Refers-To-Page-ID: {refers_to}")
+        lines.append(f"WARC-Refers-To: {_record_id(first['page_id'], first['row'])}")
+        if first["page_id"] is not None:
+            lines.append(f"X-Refers-To-Page-ID: {first['page_id']}")
     raw = "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
     return gzip.compress(raw, compresslevel=5, mtime=0)
 
@@ -233,33 +242,31 @@ def _package(path: str, records: list[tuple[str, dict, bytes]], zip64: bool) ->
 
 
 def typed_pages(pages: DataFrame, min_bytes: int, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """pages with what their record is to be: page_id, url, payload, revisit, refers_to.
+    """pages with what their record is to be: page_id, row (place in the scan), url, payload, and
+    first: of a revisit, page_id and row of the response.
 
-    Equal payloads are met by their digest: each group's copies are counted where they are
-    read, one entry a task and digest, so a hot group is no burden; the join back is split
-    by Spark where a digest is hot.
+    Groups of equal payloads are found on narrow rows (page_id, row, digest), reduced where they
+    are read. The groups are kept before rows meet them, so that Spark can split a digest with
+    many copies; payloads then meet their record's kind by row, which no two of them share, so
+    copies of one text lie with as many writers as any other pages.
     """
+    pages = steady(pages)
     raw = F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8")
-    rows = steady(pages).select(
-        F.col(id_col).alias("page_id"),
-        F.col(url_col).cast("string").alias("url"),
-        raw.alias("payload"),
-        F.unhex(F.sha1(raw)).alias("digest"),
-        F.monotonically_increasing_id().alias("row"),
+    row = F.monotonically_increasing_id().alias("row")
+    digests = cut(
+        pages.select(F.col(id_col).alias("page_id"), row, F.unhex(F.sha1(raw)).alias("digest"), F.octet_length(raw).alias("n"))
+        .where(F.col("n") >= min_bytes)
+        .drop("n")
     )
-    large = F.octet_length("payload") >= min_bytes
-    groups = (
-        rows.where(large)
-        .groupBy("digest")
-        .agg(F.max(F.struct("page_id", "row")).alias("last"), F.count("*").alias("n"))
+    groups = cut(
+        digests.groupBy("digest")
+        .agg(F.max(F.struct("page_id", "row")).alias("first"), F.count("*").alias("n"))
         .where("n > 1")
-        .select("digest", "last")
-    )
-    joined = rows.join(groups, "digest", "left")
-    revisit = F.coalesce((F.col("last.row") != F.col("row")) & large, F.lit(False))
-    return joined.select(
-        "page_id", "url", "payload", revisit.alias("revisit"), F.when(revisit, F.col("last.page_id")).alias("refers_to")
+        .select("digest", "first")
     )
+    revisits = digests.join(groups, "digest").where("row <> first.row").select("row", "first")
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), raw.alias("payload"), row)
+    return rows.join(revisits, "row", "left").select("page_id", "row", "url", "payload", "first")
 
 
 def write_archives(
@@ -285,7 +292,7 @@ def write_archives(
     schema = "path string, records long, bytes long"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        records, held, order = [], 0, 0
+        records, held = [], 0
 
         def flush() -> pa.RecordBatch:
             path = f"{folder}/{uuid.uuid4().hex}.wacz"
@@ -297,12 +304,12 @@ def write_archives(
             )
 
         for batch in batches:
-            for page_id, url, payload, revisit, refers_to in zip(*batch.columns, strict=True):
-                page_id, payload, order = page_id.as_py(), payload.as_py(), order + 1
-                url = _one_line(url.as_py() or f"urn:page:{page_id}")
-                kind = revisit.as_py()
-                data = _record(page_id, url, payload, refers_to.as_py(), kind, order)
-                fields = {"url": url, "mime": "warc/revisit" if kind else "text/html", "status": "200", "digest": f"sha1:{digest32(payload)}", "filename": "data.warc.gz"}
+            for cells in zip(*batch.columns, strict=True):
+                page_id, row, url, payload, first = (c.as_py() for c in cells)
+                url = _one_line(url or f"urn:page:{page_id}")
+                kind = "text/html" if first is None else "warc/revisit"
+                data = _record(page_id, row, url, payload, first)
+                fields = {"url": url, "mime": kind, "status": "200", "digest": f"sha1:{digest32(payload)}", "filename": DATA.rpartition("/")[2]}
                 records.append((url, fields, data))
                 held += len(payload)
                 if held >= package_bytes:
@@ -329,67 +336,100 @@ RECORD = T.StructType(
 )
 
 
-def read_archives(packages: DataFrame, payloads: bool = True, url_prefix: str | None = None) -> DataFrame:
+def _wanted(source, members: dict[str, Member], url_prefix: str | None) -> list[tuple[str, int, int, str]]:
+    """(archive member, offset, length, url) of the records that the package's indexes list, in the
+    order of their places."""
+    out = []
+    for name, member in members.items():
+        if not name.startswith("indexes/") or not name.endswith((".cdxj", ".cdx", ".cdxj.gz", ".cdx.gz")):
+            continue
+        raw = _at(source, place(source, member), member.size)
+        for line in (gzip.decompress(raw) if name.endswith(".gz") else raw).decode().splitlines():
+            url, _, entry = line.split(" ", 2)
+            if not entry.startswith("{"):  # the head of an index
+                continue
+            fields = json.loads(entry)
+            url = fields.get("url", url)
+            if url_prefix is None or url.startswith(url_prefix):
+                out.append((f"archive/{fields['filename']}", int(fields["offset"]), int(fields["length"]), url))
+    return sorted(set(out))
+
+
+def _records(source, members: dict[str, Member], wanted: list[tuple[str, int, int, str]]) -> Iterator[tuple[int, str, bytes]]:
+    """(offset, url, bytes) of the wanted records; neighbours are read together, up to RANGE_BYTES."""
+    base = {name: place(source, members[name]) for name in {w[0] for w in wanted}}
+    i = 0
+    while i < len(wanted):
+        name, first, length, _ = wanted[i]
+        end, j = first + length, i + 1
+        while j < len(wanted) and wanted[j][0] == name and wanted[j][1] == end and end + wanted[j][2] - first <= RANGE_BYTES:
+            end, j = end + wanted[j][2], j + 1
+        data = _at(source, base[name] + first, end - first)
+        for _, offset, n, url in wanted[i:j]:
+            yield offset, url, data[offset - first : offset - first + n]
+        i = j
+
+
+def read_archives(packages: DataFrame, payloads: bool = True, url_prefix: str | None = None, id_type: str = "long") -> DataFrame:
     """One row per record of the packages (a column `path`); see RECORD for the columns.
 
-    From each package only the directory, the index member and the wanted records are read,
+    From each package only the directory, the index members and the wanted records are read,
     each by its range. payload_digest and payload_bytes are of the full payload; a response's
     are computed from the bytes read, and differing from the record's fields is an error.
-    payload is null for revisits, and for all where payloads is false. An empty list gives
-    no rows; other columns of packages are not carried.
+    payload is null for revisits, and for all where payloads is false. id_type is that of
+    page_id and refers_to, `long` or `string`. An empty list gives no rows; other columns of
+    packages are not carried.
     """
     names = RECORD.names
+    id_of = {"long": int, "string": str}[id_type]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 with _open(path) as source:
                     members = directory(source)
-                    index_at = place(source, members[INDEX])
-                    lines = _at(source, index_at, members[INDEX].size).decode().splitlines()
-                    base = place(source, members[DATA])
                     rows: list[tuple] = []
                     held = 0
-                    for line in lines:
-                        url, _, entry = line.split(" ", 2)
-                        if url_prefix is not None and not url.startswith(url_prefix):
-                            continue
-                        entry = json.loads(entry)
-                        fields, block = parse_record(_at(source, base + entry["offset"], entry["length"]))
-                        digest, size = fields["warc-payload-digest"].removeprefix("sha1:"), int(fields["x-payload-length"])
-                        payload = None
+                    for offset, url, data in _records(source, members, _wanted(source, members, url_prefix)):
+                        fields, block = parse_record(data)
+                        digest = fields["warc-payload-digest"].removeprefix("sha1:")
+                        payload, size = None, fields.get("x-payload-length")
                         if fields["warc-type"] == "response":
                             payload = block.partition(b"\r\n\r\n")[2]
-                            if len(payload) != size or digest32(payload) != digest:
+                            if len(payload) != int(size or len(payload)) or digest32(payload) != digest:
                                 raise ValueError(f"a record of {path} differs from its digest")
+                            size = len(payload)
                         page, to = fields.get("x-page-id"), fields.get("x-refers-to-page-id")
                         rows.append(
                             (
                                 path,
-                                entry["offset"],
+                                offset,
                                 fields["warc-type"],
-                                page and int(page),
+                                page and id_of(page),
                                 url,
-                                size,
+                                size and int(size),
                                 digest,
-                                to and int(to),
+                                to and id_of(to),
                                 payload if payloads else None,
                             )
                         )
                         held += len(block)
-                        if held > 4 << 20:
+                        if held > RANGE_BYTES:
                             yield _batch(rows)
                             rows, held = [], 0
                     if rows:
                         yield _batch(rows)
 
-    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    key = pa.int64() if id_type == "long" else pa.string()
+    types = [pa.string(), pa.int64(), pa.string(), key, pa.string(), pa.int64(), pa.string(), key, pa.binary()]
+    plain = T.StringType() if id_type == "string" else T.LongType()
+    schema = T.StructType([T.StructField(f.name, plain if f.name in ("page_id", "refers_to") else f.dataType) for f in RECORD])
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     spread = packages.select("path").repartition(max(1, packages.sparkSession.sparkContext.defaultParallelism), "path")
-    return spread.mapInArrow(read, RECORD)
+    return spread.mapInArrow(read, schema)
 
 
 def archive_folder(spark: SparkSession) -> str:
