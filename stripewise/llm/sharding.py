@@ -10,7 +10,7 @@ from stripewise.llm.common import cut
 
 CELLS = 1 << 16  # of the ring
 VNODES = 128  # points of a shard
-PARTS = 8  # that the rows of an arc are ranked in
+PARTS = 8192  # that the rows of all arcs are ranked in, dealt to the arcs by their rows
 
 
 def ring(spark: SparkSession, shards: int, vnodes: int = VNODES) -> list[tuple[int, int, int]]:
@@ -90,12 +90,13 @@ def shard_documents(
     A document's key is its id; it belongs to the arc of the ring that its hash falls into.
     Only the number of rows of each arc (a bounded table) comes to the driver, which sends the
     overflow of full shards clockwise as ranges of ranks; each row then finds its range by
-    its rank within the arc. At epsilon 0 the law is `rows`: counts at most one apart.
+    its rank within the arc. At epsilon 0 the law is `rows`: counts at most one apart; with
+    slack no law of balance holds but the bound of capacities(), and it is named `bounded`.
 
     size: UTF-8 bytes of the text (null: none) plus 8; text_crc32: of those bytes; slots are
     gapless from 0 in each shard; grown_shard is null, as it belongs to another law. Rows with
-    a null or repeated id are keys like any other, told apart by text and place; a repeated
-    id's rows are ranked in several parts. An empty table gives no rows; other columns of docs
+    a null or repeated id are keys like any other, told apart by text and place; an arc with a
+    share of all rows is ranked in that share of PARTS parts. An empty table gives no rows; other columns of docs
     are not carried, so their names cannot clash.
     """
     spark = docs.sparkSession
@@ -115,21 +116,25 @@ def shard_documents(
         F.monotonically_increasing_id().alias("row"),
         F.shiftrightunsigned(key, 48).cast("int").alias("cell"),
     )
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", "row"), F.lit(PARTS)).cast("int"))
     placed = cut(rows.join(cells, "cell").drop("cell"))
 
+    of_arc = {r["arc"]: r["count"] for r in placed.groupBy("arc").count().collect()}
+    per_arc = [of_arc.get(a, 0) for a in range(len(arcs))]
+    parts = [1 + PARTS * n // max(1, sum(per_arc)) for n in per_arc]  # PARTS and an arc each at most
+    dealt = F.broadcast(spark.createDataFrame(list(enumerate(parts)), "arc int, parts int"))
+    part = F.pmod(F.xxhash64("doc_id", "text_crc32", "row"), F.col("parts")).cast("int")
+    placed = placed.join(dealt, "arc").withColumn("part", part).drop("parts")
     counts = {(r["arc"], r["part"]): r["count"] for r in placed.groupBy("arc", "part").count().collect()}
-    per_arc = [sum(counts.get((a, p), 0) for p in range(PARTS)) for a in range(len(arcs))]
     pieces = fill(per_arc, [a[0] for a in arcs], capacities(sum(per_arc), shards, epsilon))
     split = []  # the pieces, cut where the parts of an arc meet; ranks from 0 in each part
     starts = {}
     for a in range(len(arcs)):
         at = 0
-        for p in range(PARTS):
+        for p in range(parts[a]):
             starts[a, p] = at
             at += counts.get((a, p), 0)
     for a, lo, hi, shard, slot in pieces:
-        for p in range(PARTS):
+        for p in range(parts[a]):
             s, e = starts[a, p], starts[a, p] + counts.get((a, p), 0)
             x, y = max(lo, s), min(hi, e)
             if x < y:
@@ -146,7 +151,7 @@ def shard_documents(
             "doc_id",
             "size",
             "text_crc32",
-            F.lit("rows" if epsilon == 0 else "bytes").alias("law"),
+            F.lit("rows" if epsilon == 0 else "bounded").alias("law"),
             "shard",
             (F.col("rank") + F.col("shift")).alias("slot"),
             F.lit(None).cast("int").alias("grown_shard"),
