@@ -24,10 +24,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from stripewise.llm.common import cut, steady, stored
-from stripewise.llm.components import components
+from stripewise.llm.components import components, meet
 
 K = 48  # coordinates
 MISS = 2e-6  # chance that a pair at the threshold is lost
@@ -258,25 +257,30 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, width: int, text_col:
 
     # The full sets of all classes that any check needs.
     tests = near.where(F.col("agree") >= m).select("a", "b").unionByName(apart)
-    sizes = near.groupBy("b").agg(F.count("*").alias("size"))
-    clusters = near.join(sizes.where("size > 1"), "b").select(F.col("b").alias("hub"), F.col("a").alias("node"))
+    sizes = cut(near.groupBy("b").agg(F.count("*").alias("n")))
+    held_near = near.count()
+    clusters = meet(near, sizes.where("n > 1"), "b", held_near).select(F.col("b").alias("hub"), F.col("a").alias("node"))
     wanted = tests.select(F.explode(F.array("a", "b")).alias("node")).unionByName(clusters.select("node")).distinct()
     sets = stored(_sets(docs, wanted, width, text_col), "shingles")
 
     first = cut(_with(tests, sets, "hashes").where(_alike(percent)).select("a", "b"))
 
-    # Within a cluster: those linked to the hub first, in blocks; blocks of linked ones alone
-    # need no check against each other.
+    # Within a cluster: those linked to the hub and the others in blocks of their own, about BLOCK
+    # large, by a hash of the node, so that nobody numbers a cluster; blocks of linked ones need
+    # no check against each other.
     linked = first.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.lit(True).alias("linked"))
-    members = clusters.join(linked, ["node", "hub"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
-    place = F.row_number().over(Window.partitionBy("hub").orderBy(F.desc("linked"), "node")) - 1
-    members = cut(members.withColumn("place", place).withColumn("block", F.expr(f"cast(place div {BLOCK} as int)")))
-    blocks = members.groupBy("hub", "block").agg(F.min("linked").alias("all_linked"))
-    units = (
-        blocks.select("hub", F.col("block").alias("x"), F.col("all_linked").alias("lx"))
-        .join(blocks.select("hub", F.col("block").alias("y"), F.col("all_linked").alias("ly")), "hub")
-        .where("x <= y and not (lx and ly)")
-        .select("hub", "x", "y", F.explode(F.when(F.col("x") == F.col("y"), F.array("x")).otherwise(F.array("x", "y"))).alias("block"))
+    members = cut(clusters.join(linked, ["node", "hub"], "left").withColumn("linked", F.coalesce("linked", F.lit(False))))
+    parts = members.groupBy("hub").agg(F.count_if("linked").alias("l"), F.count_if(~F.col("linked")).alias("u"), F.count("*").alias("n"))
+    parts = cut(parts.where("u > 0").select("hub", "n", *[F.expr(f"cast(({c} + {BLOCK - 1}) div {BLOCK} as int)").alias(c) for c in ("l", "u")]))
+    dealt = F.pmod(F.xxhash64("node"), F.greatest(F.when(F.col("linked"), F.col("l")).otherwise(F.col("u")), F.lit(1))).cast("int")
+    members = cut(
+        meet(members, parts, "hub", held_near).select("hub", "node", "linked", F.when(F.col("linked"), dealt).otherwise(F.col("l") + dealt).alias("block"))
+    )
+    units = (  # blocks below l are of linked ones
+        parts.select("hub", "l", F.explode(F.sequence(F.lit(0), F.col("l") + F.col("u") - 1)).alias("y"))
+        .where("y >= l")
+        .select("hub", "y", F.explode(F.sequence(F.lit(0), F.col("y"))).alias("x"))
+        .select("hub", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
     )
     payload = nodes.select("node", "n", "sig").join(sets, "node")
     dealt = units.join(members, ["hub", "block"]).join(payload, "node").select("hub", "x", "y", "block", "node", "linked", "n", "sig", "hashes")
