@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,6 +95,18 @@ def _permuted(index: pd.Series, n: pd.Series, key: pd.Series) -> pd.Series:
     return pd.Series(permuted(index.to_numpy(), n.to_numpy(), key.to_numpy()))
 
 
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's rows with at: the words of the same source in the rows before them. Rows stay
+    where they were read, and a task keeps one number for each of its sources."""
+    seen: dict[str, int] = {}
+    for batch in batches:
+        at = []
+        for key, size in zip(batch["key"].to_pylist(), batch["size"].to_pylist(), strict=True):
+            at.append(seen.get(key, 0))
+            seen[key] = at[-1] + size
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], names=[*batch.schema.names, "at"])
+
+
 @dataclass
 class Mix:
     """docs: the table mixed, its rows numbered by their place.
@@ -132,15 +146,15 @@ def mix_sources(
     """
     spark, docs = docs.sparkSession, steady(docs)
     # A source's key: null apart from any string.
-    sized = cut(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.monotonically_increasing_id().alias("row"),
-            F.col(source_col).alias("source"),
-            F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-")).alias("key"),
-            F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
-        ).withColumn("part", F.shiftright("row", 33))
-    )
+    sized = docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.monotonically_increasing_id().alias("row"),
+        F.col(source_col).alias("source"),
+        F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-")).alias("key"),
+        F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
+    ).withColumn("part", F.shiftright("row", 33))
+    schema = T.StructType([*sized.schema, T.StructField("at", T.LongType())])
+    sized = cut(sized.mapInArrow(_running, schema))
     found = sized.groupBy("key").agg(F.sum("size").alias("size")).collect()  # one per source
     found = sorted(found, key=lambda r: (r["key"] == "-", r["key"]))
     sizes = [r["size"] for r in found]
@@ -183,12 +197,11 @@ def mix_sources(
         )
     )
 
-    within = F.sum("size").over(Window.partitionBy("key", "part").orderBy("row")) - F.col("size")
     sums = sized.groupBy("key", "part").agg(F.sum("size").alias("n"))
     before = sums.select(
         "key", "part", (F.sum("n").over(Window.partitionBy("key").orderBy("part")) - F.col("n")).alias("before")
     )
-    placed = sized.withColumn("at", within).join(before, ["key", "part"]).withColumn("at", F.col("at") + F.col("before"))
+    placed = sized.join(before, ["key", "part"]).withColumn("at", F.col("at") + F.col("before"))
 
     def piece(b):
         lo = F.greatest(F.col("at"), b * block_words)
