@@ -18,9 +18,11 @@ FALLBACK_DIR = "file:///tmp/checkpoints/stripewise"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where the session names none."""
+    """The cluster's shared folder; one of our own only on one machine, where the session names none."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         path = FALLBACK_DIR
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(path)
@@ -44,8 +46,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Makes the folder where it is not there yet (only what exists can be marked) and has it
+    deleted when the driver's JVM ends."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
 
 
 def steady(df: DataFrame) -> DataFrame:

@@ -226,16 +226,16 @@ def train(
 
 
 def score_quality(
-    docs: DataFrame, field: LineField | None, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, field: LineField | None, text_col: str = "text", score_col: str = "score"
 ) -> DataFrame:
-    """docs with score (0 to 1) added; whole texts, no shuffle. The columns of docs stay; one
-    named score is replaced. Null and empty texts are one empty line; repeated rows and null
+    """docs with score_col (0 to 1) added; whole texts, no shuffle. The columns of docs stay; one
+    named score_col is replaced. Null and empty texts are one empty line; repeated rows and null
     ids are scored like any other row; an empty table gives no rows. Without a field (the
     labels had one value only) every score is 0.5."""
-    schema = T.StructType([*(f for f in docs.schema if f.name != "score"), T.StructField("score", T.DoubleType())])
-    plain = docs.drop("score")
+    schema = T.StructType([*(f for f in docs.schema if f.name != score_col), T.StructField(score_col, T.DoubleType())])
+    plain = docs.drop(score_col)
     if field is None:
-        return plain.withColumn("score", F.lit(0.5))
+        return plain.withColumn(score_col, F.lit(0.5))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
