@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stripewise.llm.common import shared_dir, table
+from stripewise.llm.common import delete_at_end, shared_dir, table
 from stripewise.llm.exact_dedup import drop_copies
 from stripewise.llm.minhash import drop_near_copies
 from stripewise.llm.mixing import mix_sources, mixed_documents
@@ -20,10 +20,16 @@ from stripewise.llm.quality_crf import THRESHOLD, score_quality, train
 from stripewise.llm.queries import vocabulary
 
 
+SCORE = "__quality"  # beside any column of documents
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose score reaches the classifier's threshold, fitted on the labels beside them."""
+    """Rows whose score reaches the classifier's threshold, fitted on the labels beside them. Where
+    the labels do not hold both values nothing can be fitted, and all rows stay."""
     field = train(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, field).where(F.col("score") >= THRESHOLD).select(*docs.columns)
+    if field is None:
+        return docs
+    return score_quality(docs, field, score_col=SCORE).where(F.col(SCORE) >= THRESHOLD).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +60,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the cluster's shared folder and read again."""
+    """All stages over documents, each written to the cluster's shared folder and read again; the
+    stages are deleted when the driver's JVM ends."""
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    delete_at_end(spark, base)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(f"{base}/{name}")
