@@ -30,7 +30,8 @@ DIGIT_NAMES = {
 }
 # Endings of hosts that a spoken address may have.
 SPOKEN_ENDINGS = frozenset(
-    "com org net edu gov mil int info biz io co me tv eu us uk ie de at ch li fr be lu nl es pt it mx ar cl pe br ca au nz in jp cn ru pl se no dk fi cz gr test example invalid".split()
+    "com org net edu gov mil int info biz io co me tv eu us uk ie de at ch li fr be lu nl es pt it mx ar cl pe br ca au nz in jp cn ru pl se no dk fi cz gr test example invalid "
+    "app dev ai xyz online site shop store tech cloud name pro me kr za tr gg ly sh id il sg hk tw th ua ro hu ie pt".split()
 )
 AT = r"(?:at|arroba|bei|chez|@)"
 DOT = r"(?:dot|punkt|punto|point|\.)"
@@ -41,7 +42,7 @@ def _homoglyphs() -> dict[int, str]:
     """Signs that stand for one sign of identifiers: by compatibility composition, or by looks."""
     wanted = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789@.+-_%()")
     out = {ord(k): v for k, v in LOOKALIKES.items()}
-    for c in range(0x180, 0x20000):
+    for c in (0xB2, 0xB3, 0xB9, *range(0x180, 0x20000)):
         if not 0xD800 <= c < 0xE000 and (n := unicodedata.normalize("NFKC", chr(c))) in wanted:
             out[c] = n
     for c in range(0x660, 0xFF20):
@@ -51,18 +52,23 @@ def _homoglyphs() -> dict[int, str]:
 
 
 HOMOGLYPHS = _homoglyphs()
-_BEYOND = re.compile("[^\\x00-\\u017f]")
+_BEYOND = re.compile("[^\\x00-\\u017f]|[\u00b2\u00b3\u00b9]")
 _HIDDEN = re.compile("[​‌‍⁠﻿­]+")
 _BRACKETED = re.compile(rf"[\[({{<]\s{{0,2}}(?:({AT})|({DOT}))\s{{0,2}}[\])}}>]\s{{0,2}}", re.I)
-_SPOKEN_AT = (" at ", " AT ", " At ", " arroba ", " ARROBA ")
-_HOST = re.compile(rf"[A-Za-z0-9-]+(?:(?: {{1,2}}{SPOKEN_DOT} {{1,2}}|\.)[A-Za-z0-9-]+)+(?![A-Za-z0-9-])", re.I)
-_SPOKEN_DOT = re.compile(rf" {{1,2}}{SPOKEN_DOT} {{1,2}}", re.I)
+_CODED = re.compile(r"(&#0*64;|&#x0*40;|&commat;|%40)|&#0*46;|&#x0*2e;|&period;|%2e", re.I)
+_SPOKEN_AT = re.compile(r"(?<=[A-Za-z0-9._%+-])[ \t]{1,3}(?:at|arroba)[ \t]{1,3}(?=[A-Za-z0-9])", re.I)
+_JOINED = re.compile(r"(?<=[A-Za-z0-9])([_-])(?:at|arroba)\1(?=[A-Za-z0-9]+(?:\1(?:dot|punkt|punto|point)\1[A-Za-z0-9]+)+(?![A-Za-z0-9]))", re.I)
+_JOINED_DOT = re.compile(r"([_-])(?:dot|punkt|punto|point)\1", re.I)
+_JOINED_HOST = re.compile(r"[A-Za-z0-9]+(?:[_-](?:dot|punkt|punto|point)[_-][A-Za-z0-9]+)+", re.I)
+_SPOKEN_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:[ \t]{{1,3}}{SPOKEN_DOT}[ \t]{{1,3}}|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
+_HOST = re.compile(rf"[A-Za-z0-9-]+(?:(?:[ \t]{{1,3}}{SPOKEN_DOT}[ \t]{{1,3}}|\.)[A-Za-z0-9-]+)+(?![A-Za-z0-9-])", re.I)
+_SPOKEN_DOT = re.compile(rf"[ \t]{{1,3}}{SPOKEN_DOT}[ \t]{{1,3}}", re.I)
 _LOCAL_WORD = re.compile(r"[A-Za-z0-9._%+-]+")
 _NAMES = frozenset(DIGIT_NAMES)
 _NAME = "(?:" + "|".join(sorted(DIGIT_NAMES, key=len, reverse=True)) + ")"
-_BETWEEN = rf"(?: {{1,2}}{SPOKEN_DOT} {{1,2}}|, |[ ,.-])"
+_BETWEEN = rf"(?:\s{{1,3}}{SPOKEN_DOT}\s{{1,3}}|,\s{{1,2}}|\s{{1,3}}|[,.-])"
 _DIGIT_RUN = re.compile(rf"\b(?:plus )?{_NAME}\b(?:{_BETWEEN}(?:{_NAME}\b|[0-9]{{1,4}}\b)){{3,}}", re.I)
-_DIGIT_ITEM = re.compile(rf"(plus )|({_NAME})\b|([0-9]+)|( {{1,2}}{SPOKEN_DOT} {{1,2}})|([, .-]+)", re.I)
+_DIGIT_ITEM = re.compile(rf"(plus )|({_NAME})\b|([0-9]+)|(\s{{1,3}}{SPOKEN_DOT}\s{{1,3}})|([,\s.-]+)", re.I)
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -109,42 +115,49 @@ def detect(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _spoken_at(text: str) -> Iterator[tuple[int, int]]:
-    for word in _SPOKEN_AT:
-        i = text.find(word)
-        while i >= 0:
-            if i and text[i - 1] in _LOCAL:
-                yield i, i + len(word)
-            i = text.find(word, i + 1)
-
-
 def _spoken_mail(text: str) -> Iterator[tuple[int, int, str]]:
     """Edits for `name at host dot tld`; a plain dot in the host needs one in the name too, so
-    that prose such as `meet at example.com` stays."""
-    for begin, end in _spoken_at(text):
+    that prose such as `meet at example.com` stays, and an ending that is not listed needs a
+    dot spelled out on both sides."""
+    for found in _SPOKEN_AT.finditer(text):
+        begin, end = found.span()
         m = _HOST.match(text, end)
         if not m:
             continue
         dots = list(_SPOKEN_DOT.finditer(text, m.start(), m.end()))
+        prose = len(dots) == 1 and dots[0][0].strip().lower() == "point"  # `at this point in`
         left, edits = begin, []
         while True:  # name dot name at ...
             word = left
             while word > 0 and text[word - 1] in _LOCAL:
                 word -= 1
-            head = text[max(0, word - 10) : word]
-            d = re.search(rf"(?<=[A-Za-z0-9]) {{1,2}}{SPOKEN_DOT} {{1,2}}\Z", head, re.I)
+            head = text[max(0, word - 14) : word]
+            d = re.search(rf"(?<=[A-Za-z0-9])[ \t]{{1,3}}{SPOKEN_DOT}[ \t]{{1,3}}\Z", head, re.I)
             if not d:
                 break
             edits.append((word - len(head) + d.start(), word, "."))
             left = word - len(head) + d.start()
         name = text[word:begin]
         tld = re.split(r"[ .]", m[0])[-1]
-        if tld.lower() in SPOKEN_ENDINGS and (dots or edits or re.match(r"[A-Za-z][\w-]*[._][A-Za-z0-9]", name)):
+        listed = tld.lower() in SPOKEN_ENDINGS and (dots and not prose or edits or re.match(r"[A-Za-z][\w-]*[._][A-Za-z0-9]", name))
+        if listed or dots and edits and tld.isalpha() and len(tld) > 1:
             yield from edits
             yield (begin, end, "@")
             yield from ((d.start(), d.end(), ".") for d in dots)
 
 
+def _joined_mail(text: str) -> Iterator[tuple[int, int, str]]:
+    """Edits for `name_at_host_dot_tld`, with dots in the name as well."""
+    for m in _JOINED.finditer(text):
+        word = m.start()
+        while word > 0 and text[word - 1] in _LOCAL:
+            word -= 1
+        yield from ((d.start(), d.end(), ".") for d in _JOINED_DOT.finditer(text, word, m.start()))
+        yield (m.start(), m.end(), "@")
+        host = _JOINED_HOST.match(text, m.end())
+        yield from ((d.start(), d.end(), ".") for d in _JOINED_DOT.finditer(text, m.end(), host.end()))
+
+
 def _spelled(text: str) -> Iterator[tuple[int, int, str]]:
     words = text.lower().replace("-", " ").replace(",", " ").replace(".", " ").split()
     if _NAMES.isdisjoint(words):
@@ -169,7 +182,10 @@ def disguises(text: str) -> list[tuple[int, int, str]]:
         while lo > 0 and m.start() - lo < 2 and text[lo - 1].isspace():
             lo -= 1
         found.append((lo, m.end(), "@" if m[1] else "."))
+    found += ((m.start(), m.end(), "@" if m[1] else ".") for m in _CODED.finditer(text))
     found += _spoken_mail(text)
+    found += _joined_mail(text)
+    found += ((d.start(), d.end(), ".") for m in _SPOKEN_IP.finditer(text) for d in _SPOKEN_DOT.finditer(text, m.start(), m.end()))
     found += _spelled(text)
     out: list[tuple[int, int, str]] = []
     for e in sorted(found):

@@ -22,7 +22,7 @@ def brute(t):
     return sorted(out)
 
 
-PARTS = st.sampled_from(["a", "1", ".", "@", "+", "-", " ", "(", ")", "%", "é", "4111 1111 1111 1111", "10.0.0.255", "b@c.de", "+49 30 1234567", " at ", " dot ", "one ", "＠", "​"])
+PARTS = st.sampled_from(["a", "1", ".", "@", "+", "-", " ", "(", ")", "%", "é", "4111 1111 1111 1111", "10.0.0.255", "b@c.de", "+49 30 1234567", " at ", " dot ", "one ", "_at_", "_dot_", "&#64;", "%40", "¹", "\t", "＠", "​"])
 
 
 @settings(max_examples=1500, deadline=None)
@@ -48,6 +48,16 @@ def test_base_spans(text):
         ("call plus one five five five one two three four five six seven now", "phone", "plus one five five five one two three four five six seven", "+15551234567"),
         ("one nine two dot one six eight dot zero dot one", "ip", "one nine two dot one six eight dot zero dot one", "192.168.0.1"),
         ("null vier acht", None, None, None),
+        ("host 10 dot 0 dot 0 dot 1 is up", "ip", "10 dot 0 dot 0 dot 1", "10.0.0.1"),
+        ("ask bob_at_example_dot_com today", "email", "bob_at_example_dot_com", "bob@example.com"),
+        ("ask bob-dot-lee-at-ex-dot-org today", "email", "bob-dot-lee-at-ex-dot-org", "bob.lee@ex.org"),
+        ("ask bob&#64;example.com today", "email", "bob&#64;example.com", "bob@example.com"),
+        ("ask bob&#x40;example&#46;com today", "email", "bob&#x40;example&#46;com", "bob@example.com"),
+        ("ask bob%40example.com today", "email", "bob%40example.com", "bob@example.com"),
+        ("anna dot berg at mail dot zone", "email", "anna dot berg at mail dot zone", "anna.berg@mail.zone"),
+        ("anna  AT\tmail  DOT  app", "email", "anna  AT\tmail  DOT  app", "anna@mail.app"),
+        ("dial +4930¹²³4567 now", "phone", "+4930¹²³4567", "+49301234567"),
+        ("one nine two dot one six eight\ndot zero  dot one", "ip", "one nine two dot one six eight\ndot zero  dot one", "192.168.0.1"),
         ("card ٤١١١ ١١١١ ١١١١ ١١١١", "card", "٤١١١ ١١١١ ١١١١ ١١١١", "4111 1111 1111 1111"),
     ],
 )
@@ -56,7 +66,7 @@ def test_disguises(text, kind, span, plain):
     assert got == ([(kind, span, plain)] if kind else [])
 
 
-@pytest.mark.parametrize("text", ["he works at example.com today", "look at the dot there", "one two three four", "meet at noon", "quatre ou cinq"])
+@pytest.mark.parametrize("text", ["he works at example.com today", "look at the dot there", "one two three four", "meet at noon", "quatre ou cinq", "a look-at-me moment", "10 dot 20", "save 40%40 or so", "he sat at a point in time", "Looking at this point in detail"])
 def test_clean_texts(text):
     assert find(text) == []
 
