@@ -1,7 +1,8 @@
 import hashlib
 import re
 
-from stripewise.llm.exact_dedup import drop_copies, exact_dedup
+from stripewise.llm.common import cut
+from stripewise.llm.exact_dedup import digests, drop_copies, exact_dedup, merged_runs
 
 
 def brute(rows):
@@ -41,3 +42,12 @@ def test_many_runs_and_a_hot_group(spark, docs_of):
     rows = [(i, "hot text" if i % 3 == 0 else f"text {i % 50}", "a") for i in range(600)]
     got = exact_dedup(docs_of(rows, parts=23), fan_in=2).collect()
     assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=repr) == brute([r[:2] for r in rows])
+
+
+def test_a_round_is_one_exchange_and_one_sort(docs_of):
+    """The runs of 23 tasks, two at a time: five rounds; the first also makes the runs."""
+    found = cut(digests(docs_of([(i, f"text {i}", "a") for i in range(100)], parts=23)))
+    assert found.agg({"run": "max"}).first()[0] == 22
+    plan = merged_runs(found, fan_in=2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 5
+    assert plan.count("Sort [") == 6 and "Python" not in plan and "Pandas" not in plan

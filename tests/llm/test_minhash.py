@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from stripewise.llm import minhash
 from stripewise.llm.common import table
@@ -136,3 +137,29 @@ def test_too_low_a_percentage(docs_of):
 def test_low_percentage_against_all_pairs(docs_of, copies):
     got = near_duplicates(docs_of([(*r, "s") for r in copies[:160]], parts=4), 3, 55)
     assert result(got) == brute(copies[:160], 3, 55)
+
+
+@pytest.mark.parametrize("centre", [0, 10**6])
+def test_a_star_is_split(spark, centre):
+    """A node with 20,000 links, as the least id or the largest: its rows are spread over tasks."""
+    from stripewise.llm.components import meet
+
+    ids = spark.range(1, 20_001).select("id")
+    links = ids.select(F.greatest("id", F.lit(centre)).alias("a"), F.least("id", F.lit(centre)).alias("b")).repartition(8)
+    got = components(links).groupBy("component").count().collect()
+    assert [(r.component, r["count"]) for r in got] == [(min(centre, 1), 20_001)]
+    values = spark.createDataFrame([(centre, 20_000, 5)], "k long, n long, m long")
+    rows = spark.range(20_000).select(F.lit(centre).alias("k"), "id").repartition(8)
+    met = meet(rows, values, "k", 20_000)
+    each = met.groupBy(F.spark_partition_id()).count().collect()
+    assert met.columns == ["k", "id", "m"] and len(each) == 8 and max(r["count"] for r in each) < 5000
+
+
+def test_a_cluster_of_many_unlinked_copies(docs_of):
+    """Texts that share two thirds with a hub but too little with each other, and pairs among them."""
+    rng = random.Random(9)
+    trunk = [f"t{i}" for i in range(90)]
+    rows = [(0, " ".join(trunk + [f"h{i}" for i in range(10)]))]
+    for n in range(1, 700):
+        rows.append((n, " ".join(trunk + [f"x{n if n % 7 else n // 14}_{i}" for i in range(rng.choice([20, 30, 45]) if n % 7 else 30)])))
+    assert result(near_duplicates(docs_of([(*r, "s") for r in rows], parts=4), 3, 85)) == brute(rows, 3, 85)

@@ -49,3 +49,36 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, D).count() > 0
+
+
+def written(awkward, tmp_path, labels):
+    """A folder of tables as the pipeline reads them: awkward documents and some labels."""
+    awkward.write.parquet(str(tmp_path / "documents.parquet"))
+    awkward.sparkSession.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    return str(tmp_path)
+
+
+def test_awkward_documents(spark, awkward, tmp_path):
+    """Nulls, empty, very long and repeated rows, clashing columns; labels of one value only."""
+    d = written(awkward.select("*", (1.5 * F.col("doc_id")).alias("__score")), tmp_path, [(i, 1, 0) for i in range(1, 12)])
+    docs = table(spark, d, "documents")
+    stage = dict(corpus_pipeline.STAGES)
+    good = stage["quality"](spark, docs, d)
+    assert good.columns == docs.columns and good.count() == docs.count()
+    assert [r.score for r in good.orderBy("doc_id", "text").collect()] == [0.5] * docs.count()
+    out = corpus_pipeline.run(spark, d)
+    texts = {re.sub(r"[\x20\x09-\x0D]", "", r.text or "") for r in docs.collect()}
+    assert 0 < out.select("doc_id").distinct().count() <= len(texts)
+
+
+def test_both_labels_leave_other_columns_alone(spark, awkward, tmp_path):
+    d = written(awkward, tmp_path, [(i, i % 2, 0) for i in range(1, 12)])
+    docs = table(spark, d, "documents")
+    good = dict(corpus_pipeline.STAGES)["quality"](spark, docs, d)
+    assert good.columns == docs.columns and {r.score for r in good.collect()} <= {0.5}
+    assert corpus_pipeline.run(spark, d).columns == ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_empty_documents(spark, empty, tmp_path):
+    d = written(empty, tmp_path, [])
+    assert corpus_pipeline.run(spark, d).count() == 0

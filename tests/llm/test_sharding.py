@@ -63,3 +63,39 @@ def test_keys_go_to_the_next_shard_with_room(counts, shards, epsilon, random):
 def test_too_little_room():
     with pytest.raises(ValueError):
         fill([3], [0], [2])
+
+
+def test_movement(docs_of):
+    """A further shard: few keys move between old shards, and not many more than must move at all."""
+    docs = docs_of([(i, f"text {i}", "a") for i in range(6000)])
+    before, after = ({r.doc_id: r.shard for r in shard_documents(docs, shards=n).collect()} for n in (24, 25))
+    moved = [i for i in before if before[i] != after[i]]
+    between = [i for i in moved if after[i] != 24]
+    assert 1 / 25 <= len(moved) / 6000 < 0.08 and len(between) / 6000 < 0.04
+
+
+def test_slack_has_a_law_of_its_own(docs_of):
+    rows = shard_documents(docs_of([(i, "x" * (i % 50), "a") for i in range(500)]), shards=6, epsilon=0.25).collect()
+    assert {r.law for r in rows} == {"bounded"} and max(Counter(r.shard for r in rows).values()) <= 1.25 * 500 / 6 + 1
+
+
+def test_against_a_walk_key_by_key(spark, docs_of):
+    """Each arc's keys, in the order of the shards' slots, are what a walk clockwise gives."""
+    docs = docs_of([(i, f"t{i}", "a") for i in range(900)])
+    arcs = ring(spark, 7, 8)
+    cells = {r.doc_id: r.cell for r in docs.selectExpr("doc_id", "cast(shiftrightunsigned(xxhash64('key', doc_id), 48) as int) AS cell").collect()}
+    arc_of = {i: next(a for a, (_, lo, hi) in enumerate(arcs) if lo <= c <= hi) for i, c in cells.items()}
+    room = capacities(900, 7)
+    waiting, load = [], Counter()
+    want = Counter()
+    own = Counter(arc_of.values())
+    for lap in range(2):
+        for a, (shard, _, _) in enumerate(arcs):
+            queue = ([a] * own[a] if lap == 0 else []) + waiting
+            take = room[shard] - load[shard]
+            for key in queue[:take]:
+                want[key, shard] += 1
+                load[shard] += 1
+            waiting = queue[take:]
+    got = Counter((arc_of[r.doc_id], r.shard) for r in shard_documents(docs, shards=7, vnodes=8).collect())
+    assert got == want

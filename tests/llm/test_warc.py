@@ -1,11 +1,14 @@
 import base64
+import gzip
 import hashlib
 import io
+import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
-from stripewise.llm.warc import DATA, StoredZip, directory, place, read_archives, write_archives
+from stripewise.llm.warc import DATA, StoredZip, _record, _records, _wanted, directory, place, read_archives, typed_pages, write_archives
 
 
 class Bytes:
@@ -85,3 +88,55 @@ def test_many_members():
     assert len(found) == 70_000
     at = place(source, found["69999"])
     assert out.getvalue()[at : at + 5] == b"69999"
+
+
+def test_a_hot_payload_is_spread(spark, tmp_path):
+    """Four fifths of the pages are equal: writers get like numbers of rows all the same."""
+    pages = spark.range(20_000).selectExpr("id AS page_id", "concat('u', id) AS url", "if(id % 5 < 4, 'soft 404', concat('page ', id)) AS html")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        typed = typed_pages(pages.repartition(8), 0, "page_id", "url", "html")
+        rows = typed.groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in rows) == 20_000 and max(r["count"] for r in rows) < 8000
+        kinds = {r["r"]: r["count"] for r in typed.groupBy(F.col("first").isNotNull().alias("r")).count().collect()}
+        assert kinds == {True: 15_999, False: 4001}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_record_ids_and_references(spark, tmp_path):
+    """Repeated and null ids in several tasks: no two records share an id, revisits name a response."""
+    import re
+
+    pages = spark.createDataFrame([(7, "u", "same")] * 6 + [(None, "v", "same")] * 3, "page_id long, url string, html string").repartition(4)
+    write_archives(pages, f"file://{tmp_path}/w").collect()
+    texts = []
+    for f in (tmp_path / "w").iterdir():
+        source = Bytes(f.read_bytes())
+        members = directory(source)
+        texts += [gzip.decompress(d).decode() for _, _, d in _records(source, members, _wanted(source, members, None))]
+    ids = [re.search(r"WARC-Record-ID: (.*)\r", t)[1] for t in texts]
+    responses = {i for i, t in zip(ids, texts, strict=True) if "WARC-Type: response" in t}
+    to = [re.search(r"WARC-Refers-To: (.*)\r", t)[1] for t in texts if "WARC-Type: revisit" in t]
+    assert len(set(ids)) == 9 and len(responses) == 1 and set(to) == responses and len(to) == 8
+
+
+def test_packages_of_other_writers(spark, tmp_path):
+    """Two archives, a gzipped index, and ids that are no numbers."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        lines = []
+        for name in ("a.warc.gz", "b.warc.gz"):
+            parts = [_record(f"{name}-{i}", i, f"http://{name}/{i}", b"<p>%d" % i, None) for i in range(3)]
+            at = 0
+            for i, p in enumerate(parts):
+                lines.append(f"com,{name})/{i} 2024 " + json.dumps({"url": f"http://{name}/{i}", "filename": name, "offset": str(at), "length": str(len(p))}))
+                at += len(p)
+            z.writestr(f"archive/{name}", b"".join(parts), zipfile.ZIP_STORED)
+        z.writestr("indexes/index.cdxj.gz", gzip.compress("\n".join(lines).encode()), zipfile.ZIP_STORED)
+    (tmp_path / "x.wacz").write_bytes(out.getvalue())
+    packages = spark.createDataFrame([(f"file://{tmp_path}/x.wacz",)], "path string")
+    got = {r.page_id: bytes(r.payload) for r in read_archives(packages, id_type="string").collect()}
+    assert got == {f"{n}-{i}": b"<p>%d" % i for n in ("a.warc.gz", "b.warc.gz") for i in range(3)}
