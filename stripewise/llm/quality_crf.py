@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SAMPLE_DOCS = 4000  # labelled documents that the model is fitted on at most
-STEPS = 250
+STEPS, WARM, ROUND = 250, 100, 25
+TRUST = 0.7  # chance that a line has its text's label
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
 CHUNK_BYTES = 1 << 20
@@ -146,28 +147,56 @@ class LineField:
     def unary(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.mean) / self.std).clip(-8, 8) @ self.weights[:-1] + self.weights[-1]
 
+    def _long(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """unary, weights and lines of one text, made piece by piece: a piece is whole lines of
+        about CHUNK_BYTES, looked at with the line before and the line behind it."""
+        unary, weights, at = [], [], 0
+        while at <= len(text):
+            end = text.rfind(b"\n", at, at + CHUNK_BYTES)
+            end = end if end >= at else text.find(b"\n", at)
+            end = end if end >= 0 else len(text)
+            before = text.rfind(b"\n", 0, max(0, at - 1)) + 1 if at else 0
+            behind = text.find(b"\n", end + 1) if end < len(text) else end
+            x, weight, per_text = line_features([text[before : behind if behind >= 0 else len(text)]])
+            own = slice(int(at > 0), per_text[0] - int(end < len(text)))
+            unary.append(self.unary(x[own]))
+            weights.append(weight[own])
+            at = end + 1
+        return np.concatenate(unary), np.concatenate(weights), np.array([sum(map(len, unary))])
+
     def quality(self, texts: list[bytes]) -> np.ndarray:
-        x, weight, per_text = line_features(texts)
-        good, _, _ = marginals(self.unary(x), self.moves, per_text)
+        """Of each text; one of more than CHUNK_BYTES should come alone."""
+        if len(texts) == 1 and len(texts[0]) > CHUNK_BYTES:
+            unary, weight, per_text = self._long(texts[0])
+        else:
+            x, weight, per_text = line_features(texts)
+            unary = self.unary(x)
+        good, _, _ = marginals(unary, self.moves, per_text)
         first = np.cumsum(per_text) - per_text
         return np.add.reduceat(good * weight, first) / np.add.reduceat(weight, first)
 
 
-def fit(x: np.ndarray, per_text: np.ndarray, labels: np.ndarray, steps: int = STEPS, l2: float = 1e-3) -> LineField:
-    """Maximum conditional likelihood of the lines' labels, each line having its text's, by
-    Adam steps on the whole sample: expected minus observed counts of features and moves."""
+def fit(x: np.ndarray, per_text: np.ndarray, labels: np.ndarray, steps: int = STEPS, l2: float = 1e-3, trust: float = TRUST) -> LineField:
+    """Generalised expectation maximisation, the lines' labels being hidden: a text's label is seen
+    through each of its lines, which has that label with odds of trust. Expectations of labels and
+    moves given the texts' labels are the targets of Adam steps on the whole sample. The first WARM
+    steps begin with every line labelled as its text; then expectations are taken from the field
+    every ROUND steps, so that a good line of a bad text may be one, and moves are learnt."""
     mean, std = x.mean(axis=0).astype(np.float64), x.std(axis=0).astype(np.float64) + 1e-3
     z = np.concatenate([((x - mean) / std).clip(-8, 8), np.ones((len(x), 1))], axis=1)
-    y = np.repeat(labels.astype(np.float64), per_text)
     share = np.repeat(1.0 / per_text, per_text)  # a text counts once, however long it is
-    same = per_text - 1
-    seen = np.array([[(same * (labels == 0)).sum(), 0], [0, (same * (labels == 1)).sum()]], dtype=np.float64)
+    inner = max(1, int((per_text - 1).sum()))
+    target = np.repeat(labels.astype(np.float64), per_text)
+    seen = np.diag([((per_text - 1) * (labels == v)).sum() for v in (0, 1)]).astype(np.float64)
+    lean = np.repeat(np.where(labels == 1, 1.0, -1.0), per_text) * np.log(trust / (1 - trust))
     w, moves = np.zeros(z.shape[1]), np.zeros((2, 2))
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(moves), np.zeros_like(moves)]
     for k in range(1, steps + 1):
+        if k > WARM and k % ROUND == 1:
+            target, seen, _ = marginals(z @ w + lean, moves, per_text)
         p, pairs, _ = marginals(z @ w, moves, per_text)
-        gw = z.T @ ((p - y) * share) / len(labels) + l2 * w
-        gm = (pairs - seen) / max(1, same.sum()) + 10 * l2 * moves
+        gw = z.T @ ((p - target) * share) / len(labels) + l2 * w
+        gm = (pairs - seen) / inner + 10 * l2 * moves
         rate = 0.1 * (1 - 0.9 * k / steps)
         for i, (v, g) in enumerate(((w, gw), (moves, gm))):
             m, s = state[2 * i], state[2 * i + 1]
@@ -244,8 +273,12 @@ def score_quality(
             held: list[bytes] = []
             size = 0
             for i in range(batch.num_rows):
-                held.append((texts[i].as_py() or "").encode())
-                size += len(held[-1])
+                raw = (texts[i].as_py() or "").encode()
+                if held and len(raw) > CHUNK_BYTES:
+                    out.append(field.quality(held))
+                    held, size = [], 0
+                held.append(raw)
+                size += len(raw)
                 if size >= CHUNK_BYTES or i == batch.num_rows - 1:
                     out.append(field.quality(held))
                     held, size = [], 0

@@ -69,3 +69,38 @@ def test_awkward(spark, awkward, empty):
     assert {r.score for r in score_quality(awkward, None).collect()} == {0.5}
     with pytest.raises(Exception):
         train(awkward.drop("text"), labels)
+
+
+def test_lines_are_hidden():
+    """Bad texts that are half prose: their prose lines may be good ones, and moves from good to bad
+    lines are learnt, which no text whose lines all have its label could show."""
+    prose = [f"plain prose of some {w} words and more of it" for w in "river stone field garden winter summer".split()]
+    spam = [f"BUY!! {w} $$$ ### ***" for w in "NOW CHEAP FREE WIN CASH DEAL".split()]
+    rng = np.random.default_rng(5)
+    pick = lambda lines, n: [str(x) for x in rng.choice(lines, n)]
+    good = ["\n".join(pick(prose, 6)).encode() for _ in range(60)]
+    bad = ["\n".join(pick(prose, 5) + pick(spam, 5)).encode() for _ in range(40)]
+    x, _, n = line_features(good + bad)
+    labels, (one, _, n_one) = np.array([1] * 60 + [0] * 40), line_features(bad[:1])
+    seen = {}
+    for trust in (0.7, 0.9999):
+        field = fit(x, n, labels, trust=trust)
+        p, pairs, _ = marginals(field.unary(one), field.moves, n_one)
+        seen[trust] = p, pairs[1, 0]
+        assert field.quality(good[:5]).min() > 0.9 and field.quality(bad[:5]).max() < 0.2
+    assert seen[0.7][0][:3].min() > 0.15 and seen[0.7][0][5:].max() < 0.01
+    assert seen[0.7][1] > 0.25 and seen[0.7][1] > 1.1 * seen[0.9999][1]
+
+
+def test_long_texts_piece_by_piece(monkeypatch):
+    from stripewise.llm import quality_crf
+
+    lines = [("good line %d of words" % i if i % 5 else ("" if i % 2 else "BUY!! ### $$$")) for i in range(4000)]
+    lines[700] = lines[699]
+    x, _, n = line_features([b"plain prose of words\nand more", b"BUY!! ###\n$$$ ***"] * 10)
+    field = fit(x, n, np.array([1, 0] * 10), steps=60)
+    for text in ("\n".join(lines), "\n".join(lines) + "\n", "x" * 300 + "\n" + "y z " * 200):
+        want = field.quality([text.encode(), b""])[0]
+        monkeypatch.setattr(quality_crf, "CHUNK_BYTES", 100)
+        assert abs(field.quality([text.encode()])[0] - want) < 1e-6
+        monkeypatch.undo()
