@@ -108,22 +108,29 @@ def runs_of(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.diff(np.append(starts, len(bits))), bits[starts]
 
 
-def sparse_gaps(bits: np.ndarray) -> list[int]:
+def runs_between(ones: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """runs_of a bitmap of so many bits with these ones, from their places alone."""
+    if not len(ones):
+        return np.array([size] if size else [], np.int64), np.zeros(min(size, 1), np.uint8)
+    breaks = np.flatnonzero(np.diff(ones) > 1)
+    begins, ends = np.append(ones[0], ones[breaks + 1]), np.append(ones[breaks], ones[-1]) + 1
+    edges = np.stack([begins, ends], axis=1).ravel()
+    lengths = np.diff(edges, prepend=0, append=size)
+    bits = np.arange(len(lengths)) % 2
+    return lengths[lengths > 0].astype(np.int64), bits[lengths > 0].astype(np.uint8)
+
+
+def sparse_gaps(ones: np.ndarray, size: int) -> np.ndarray:
     """Gaps from one to one up to 255 long; 0 skips 255 positions; a one behind the end is
     thought of, so that trailing zeros are kept."""
-    out: list[int] = []
-    last = -1
-    for pos in [*np.flatnonzero(bits).tolist(), len(bits)]:
-        gap = pos - last
-        while gap > MOST_GAP:
-            out.append(0)
-            gap -= MOST_GAP
-        out.append(gap)
-        last = pos
+    gaps = np.diff(np.append(ones, size), prepend=-1)
+    skips = (gaps - 1) // MOST_GAP
+    out = np.zeros(len(gaps) + int(skips.sum()), np.uint64)
+    out[np.arange(len(gaps)) + np.cumsum(skips)] = gaps - skips * MOST_GAP
     return out
 
 
-def dense_runs(bits: np.ndarray) -> list[tuple[str, int, int]]:
+def dense_runs(lengths: np.ndarray, bits: np.ndarray) -> list[tuple[str, int, int]]:
     """(`repeat`, bit, length) for long runs and (`raw`, start, length) for what lies between."""
     out: list[tuple[str, int, int]] = []
     raw_at, at = 0, 0
@@ -135,13 +142,13 @@ def dense_runs(bits: np.ndarray) -> list[tuple[str, int, int]]:
             out.append(("raw", raw_at, n))
             raw_at += n
 
-    for n, bit in zip(*runs_of(bits), strict=True):
-        n, left = int(n), int(n)
+    for n, bit in zip(lengths.tolist(), bits.tolist(), strict=True):
+        left = n
         if n >= LEAST_REPEAT:
             raw(at)
             while left >= LEAST_REPEAT:
                 k = min(MOST_REPEAT, left)
-                out.append(("repeat", int(bit), k))
+                out.append(("repeat", bit, k))
                 left -= k
             raw_at = at + n - left
         at += n
@@ -153,15 +160,24 @@ class RleBitmap:
     """An immutable compressed bitmap, sparse or dense, with offsets to skip to.
 
     Sparse where that is the smaller: fewer ones than 1.1 times the dense runs plus an eighth
-    of the bits. Offsets are kept for about every square root of the runs."""
+    of the bits. Offsets are kept for about every square root of the runs. It is made from the
+    places of the ones; a repeated bit stands among the raw bits, where its run begins."""
 
     def __init__(self, bits: np.ndarray) -> None:
-        bits = np.asarray(bits, np.uint8)
-        self.size = len(bits)
-        dense, sparse = dense_runs(bits), sparse_gaps(bits)
-        self.sparse = int(bits.sum()) < SPARSE_FACTOR * len(dense) + len(bits) / 8
+        self._make(np.flatnonzero(np.asarray(bits)), len(bits))
+
+    @classmethod
+    def from_ones(cls, ones: np.ndarray, size: int) -> "RleBitmap":
+        out = cls.__new__(cls)
+        out._make(np.asarray(ones, np.int64), size)
+        return out
+
+    def _make(self, ones: np.ndarray, size: int) -> None:
+        self.size = size
+        dense = dense_runs(*runs_between(ones, size))
+        self.sparse = len(ones) < SPARSE_FACTOR * len(dense) + size / 8
         if self.sparse:
-            self.codes = np.array(sparse, np.uint64)
+            self.codes = sparse_gaps(ones, size)
             self.raw = b""
             steps = np.where(self.codes == 0, MOST_GAP, self.codes).astype(np.int64)
         else:
@@ -169,9 +185,12 @@ class RleBitmap:
             for kind, a, n in dense:
                 if kind == "raw":
                     codes.append((n - 1) << 1)
-                    raw.append(bits[a : a + n])
+                    part = np.zeros(n, np.uint8)
+                    part[ones[np.searchsorted(ones, a) : np.searchsorted(ones, a + n)] - a] = 1
+                    raw.append(part)
                 else:
-                    codes.append(((128 + 2 * (n - LEAST_REPEAT) + a) << 1) | 1)
+                    codes.append((n - LEAST_REPEAT) << 1 | 1)
+                    raw.append(np.array([a], np.uint8))
             self.codes = np.array(codes, np.uint64)
             self.raw = np.packbits(np.concatenate(raw) if raw else np.zeros(0, np.uint8), bitorder="little").tobytes()
             steps = np.array([n for _, _, n in dense], np.int64)
@@ -218,14 +237,15 @@ class RleBitmap:
                     out[at - offset] = 1
             return out
         before = self.codes[:i]
-        raw_at = int(((before[(before & np.uint64(1)) == 0] >> np.uint64(1)) + np.uint64(1)).sum())
+        raw_at = int(np.where(before & np.uint64(1), 1, (before >> np.uint64(1)) + np.uint64(1)).sum())
         raw = np.unpackbits(np.frombuffer(self.raw, np.uint8), bitorder="little")
         for code in self.codes[i:].tolist():
             if at >= offset + size:
                 break
             if code & 1:
-                n, bit = ((code >> 1) - 128) // 2 + LEAST_REPEAT, (code >> 1) & 1
-                part = np.full(n, bit, np.uint8)
+                n = (code >> 1) + LEAST_REPEAT
+                part = np.full(n, raw[raw_at], np.uint8)
+                raw_at += 1
             else:
                 n = (code >> 1) + 1
                 part = raw[raw_at : raw_at + n]
@@ -238,3 +258,24 @@ class RleBitmap:
 
     def get(self, pos: int) -> bool:
         return bool(self.extract(pos, 1)[0])
+
+
+def roaring_containers(ones: np.ndarray) -> bytes:
+    """The ones' containers back to back, without heads: for each 2**16 positions the least of a
+    list of 16-bit places, 8192 bytes of bits, and runs (their number, starts and lengths)."""
+    out = []
+    edges = np.flatnonzero(np.diff(ones >> 16)) + 1
+    for part in np.split(ones, edges) if len(ones) else []:
+        low = (part & 0xFFFF).astype(np.int64)
+        starts = np.flatnonzero(np.diff(low, prepend=-2) > 1)
+        n, runs = len(low), len(starts)
+        if 2 + 4 * runs < min(2 * n, 8192):
+            lengths = np.diff(starts, append=n) - 1
+            out.append(np.concatenate(([runs], np.stack([low[starts], lengths], axis=1).ravel())).astype("<u2").tobytes())
+        elif 2 * n <= 8192:
+            out.append(low.astype("<u2").tobytes())
+        else:
+            bits = np.zeros(1 << 16, np.uint8)
+            bits[low] = 1
+            out.append(np.packbits(bits, bitorder="little").tobytes())
+    return b"".join(out)

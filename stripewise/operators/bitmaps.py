@@ -13,6 +13,13 @@ from stripewise.functions import codecs
 from stripewise.operators.stripes import with_row_id
 
 
+BLOCK = 65_536
+CODECS = [
+    "bitpacked_compressed_size", "rle_size", "rle_compressed_size", "roaring_size", "roaring_compressed_size",
+    "roaring_individual_size", "roaring_individual_compressed_size",
+]
+
+
 def _by_pos():
     return Window.partitionBy("bitmap_id").orderBy("pos")
 
@@ -23,11 +30,12 @@ def from_bits(df: DataFrame, bits: str = "bits") -> DataFrame:
 
 
 def from_stripes(values: DataFrame, num_stripes: int) -> DataFrame:
-    """(bitmap_id, pos, bit) of the stripe sets (bitmap_id, stripes)."""
-    every = F.explode(F.sequence(F.lit(0), F.lit(num_stripes - 1))).alias("pos")
-    return values.select("bitmap_id", "stripes", every).select(
-        "bitmap_id", "pos", F.array_contains("stripes", F.col("pos")).cast("int").alias("bit")
-    )
+    """(bitmap_id, pos, bit) of the stripe sets (bitmap_id, stripes), run by run of zeros."""
+    zeros = lambda n: F.array_repeat(F.lit(0), n)
+    last = lambda i: F.coalesce(F.get("stripes", i - 1), F.lit(-1))
+    runs = F.flatten(F.transform("stripes", lambda p, i: F.concat(zeros(p - last(i) - 1), F.array(F.lit(1)))))
+    bits = F.concat(runs, zeros(F.lit(num_stripes) - F.size(runs)))
+    return values.select("bitmap_id", F.posexplode(bits).alias("pos", "bit"))
 
 
 def ones(sets: DataFrame) -> DataFrame:
@@ -136,11 +144,20 @@ def measures(bits: DataFrame) -> DataFrame:
     return size.join(runs, "bitmap_id", "left").withColumn("clustering", F.coalesce("clustering", F.lit(0.0)))
 
 
+def _offsets(sizes: DataFrame) -> DataFrame:
+    """(bitmap_id, offset): sums of size over the bitmaps before, by bitmap_id. Bitmaps are numbered
+    and summed up in blocks of BLOCK; one number for each block is summed up in turn."""
+    numbered = with_row_id(sizes, "bitmap_id", name="nth").withColumn("block", F.expr(f"nth div {BLOCK}"))
+    each = numbered.groupBy("block").agg(F.sum("size").alias("n"))
+    ends = F.sum("n").over(Window.orderBy("block"))
+    before = each.select("block", (ends - F.col("n")).alias("before"))
+    within = F.sum("size").over(Window.partitionBy("block").orderBy("nth")) - F.col("size")
+    return numbered.withColumn("within", within).join(before, "block").select("bitmap_id", (F.col("before") + F.col("within")).cast("long").alias("offset"))
+
+
 def concatenated(bits: DataFrame) -> DataFrame:
     """(bitmap_id, pos, global_pos, bit): the bitmaps back to back, by bitmap_id."""
-    sizes = bits.groupBy("bitmap_id").agg((F.max("pos") + 1).cast("long").alias("size"))
-    before = F.sum("size").over(Window.orderBy("bitmap_id").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("bitmap_id", F.coalesce(before, F.lit(0)).cast("long").alias("offset"))
+    offsets = _offsets(bits.groupBy("bitmap_id").agg((F.max("pos") + 1).cast("long").alias("size")))
     return bits.join(offsets, "bitmap_id").select("bitmap_id", "pos", (F.col("pos") + F.col("offset")).alias("global_pos"), "bit")
 
 
@@ -195,21 +212,57 @@ def unpacked(stored: DataFrame) -> DataFrame:
     return from_bits(stored.select("bitmap_id", unpack("payload").alias("bits")))
 
 
-def codec_sizes(values: DataFrame, num_stripes: int, parts: int = 64) -> DataFrame:
-    """One row of bytes: bitpacked, rle (raw and zstd) of the stripe sets (bitmap_id, stripes),
-    laid end to end within each of some parts and added up."""
+def global_measures(sets: DataFrame, num_stripes: int) -> DataFrame:
+    """One row: bitmaps, and density and clustering (mean length of the runs of ones) of the
+    stripe sets (bitmap_id, stripes) laid end to end by bitmap_id. A run over the border of two
+    bitmaps counts once."""
+    numbered = with_row_id(sets, "bitmap_id", name="nth").select(
+        "nth",
+        F.size("stripes").alias("ones"),
+        F.size(F.filter("stripes", _starts_run)).alias("runs"),
+        (F.get("stripes", F.lit(0)) == 0).alias("begins"),
+        (F.element_at("stripes", -1) == num_stripes - 1).alias("ends"),
+    )
+    next_one = numbered.where("begins").select((F.col("nth") - 1).alias("nth"), F.lit(1).alias("joined"))
+    met = numbered.join(next_one, "nth", "left").agg(
+        F.count("*").alias("bitmaps"),
+        F.coalesce(F.sum("ones"), F.lit(0)).alias("ones"),
+        F.coalesce(F.sum("runs") - F.sum(F.when(F.col("ends"), F.coalesce("joined", F.lit(0))).otherwise(0)), F.lit(0)).alias("runs"),
+    )
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    return met.select(
+        "bitmaps", ratio(F.col("ones"), F.col("bitmaps") * num_stripes).alias("density"), ratio(F.col("ones"), F.col("runs")).alias("clustering")
+    )
+
+
+#: Bits that one task lays end to end at most, bitmaps longer than that being tasks of their own.
+PART_BITS = 1 << 26
+
+
+def codec_sizes(values: DataFrame, num_stripes: int) -> DataFrame:
+    """One row of bytes of the stripe sets (bitmap_id, stripes) laid end to end by bitmap_id, in
+    parts of up to PART_BITS bits that are added up: bits packed and compressed, run lengths and
+    Roaring containers raw and compressed, and Roaring containers of each bitmap alone, compressed.
+
+    All are made from the places of the ones; only the packed bits take a byte for eight bits."""
 
     def size(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("bitmap_id")
-        ones = np.zeros((len(group), max(1, num_stripes)), np.uint8)
-        for i, s in enumerate(group["stripes"]):
-            ones[i, np.asarray(s, dtype=np.int64)] = 1
-        plain = np.packbits(ones.ravel(), bitorder="little").tobytes()
-        rle = codecs.RleBitmap(ones.ravel()).encode()
-        return pd.DataFrame({"a": [len(codecs.compress(plain))], "b": [len(rle)], "c": [len(codecs.compress(rle))]})
-
-    part = F.pmod(F.xxhash64("bitmap_id"), F.lit(parts)).alias("part")
-    each = values.groupBy(part).applyInPandas(size, "a long, b long, c long")
-    return each.agg(
-        F.sum("a").alias("bitpacked_compressed_size"), F.sum("b").alias("rle_size"), F.sum("c").alias("rle_compressed_size")
-    )
+        group = group.sort_values("nth")
+        stripes = [np.asarray(s, np.int64) for s in group["stripes"]]
+        ones = np.concatenate([s + i * num_stripes for i, s in enumerate(stripes)])
+        bits = len(group) * num_stripes
+        plain = np.zeros(-(-bits // 8), np.uint8)
+        np.bitwise_or.at(plain, ones >> 3, np.left_shift(1, ones & 7).astype(np.uint8))
+        rle = codecs.RleBitmap.from_ones(ones, bits).encode()
+        roaring = codecs.roaring_containers(ones)
+        alone = [codecs.roaring_containers(s) for s in stripes]
+        sizes = [plain.tobytes(), rle, roaring]
+        return pd.DataFrame(
+            [[len(codecs.compress(sizes[0])), len(rle), len(codecs.compress(rle)), len(roaring), len(codecs.compress(roaring))]
+             + [sum(len(a) for a in alone), sum(len(codecs.compress(a)) for a in alone)]], columns=CODECS
+        )
+
+    part = F.expr(f"nth div {max(1, PART_BITS // max(1, num_stripes))}").alias("part")
+    numbered = with_row_id(values, "bitmap_id", name="nth").select(part, "nth", "stripes")
+    each = numbered.groupBy("part").applyInPandas(size, ", ".join(f"{c} long" for c in CODECS))
+    return each.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in CODECS])

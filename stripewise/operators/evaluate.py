@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from stripewise.functions.profiling import Phases
 from stripewise.operators import bloom, cuckoo, truth, xor8, zonemap
-from stripewise.operators.bitmaps import bitpacked_size, codec_sizes, from_stripes, measures, roaring_size
+from stripewise.operators.bitmaps import bitpacked_size, codec_sizes, global_measures
 from stripewise.operators.columns import compressed_size
 from stripewise.operators.stripes import with_row_id
+from stripewise.session import kept
 
 # Fixed values of the linear congruence that draws positions, alike in every engine.
 LCG_MULTIPLIER, LCG_INCREMENT = 2654435761, 12345
 NEGATIVE_BASE = 1 << 40
 ZIPF_SCALE = 10**12
+MOST_RANKS = 1_000_000
 
 # The report's columns with their types.
 REPORT = (
@@ -60,14 +64,23 @@ def positive_distinct(striped: DataFrame, column: str, lookups: int, salt: int =
 def positive_zipf(striped: DataFrame, column: str, lookups: int) -> DataFrame:
     """(i, value): rank k, by value from 0, drawn with weight 1 / (k + 1)**2, in whole numbers.
 
-    Weights past rank 10**6 are zero, so the cumulative weights are a table of bounded size."""
-    ranked = _ranked(striped, column).where(F.col("rank") < 1_000_000)
-    weighed = ranked.withColumn("weight", F.expr(f"{ZIPF_SCALE} div ((rank + 1) * (rank + 1))"))
-    upto = F.sum("weight").over(Window.orderBy("rank"))
-    ends = weighed.withColumn("hi", upto).withColumn("lo", F.col("hi") - F.col("weight"))
-    total = ends.agg(F.max("hi")).first()[0]
+    Weights past rank 10**6 are zero, so the cumulative weights are a list of bounded size, which
+    every task makes for itself; a draw is found in it, and its rank meets the values."""
+    ranked = _ranked(striped, column).where(F.col("rank") < MOST_RANKS)
+    n = ranked.count()
+
+    def upto() -> np.ndarray:
+        return np.cumsum(ZIPF_SCALE // np.arange(1, n + 1, dtype=np.int64) ** 2)
+
+    total = int(upto()[-1]) if n else 1
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ends = upto()
+        for b in batches:
+            yield pd.DataFrame({"i": b["i"], "rank": np.searchsorted(ends, b["u"].to_numpy(), side="right")})
+
     draws = striped.sparkSession.range(lookups).select(F.col("id").alias("i"), _lcg(F.col("id") * 7919, total).alias("u"))
-    return draws.join(F.broadcast(ends.select("value", "lo", "hi")), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("i", "value")
+    return draws.mapInPandas(place, "i long, rank long").join(ranked, "rank").select("i", "value")
 
 
 def negative(striped: DataFrame, column: str, lookups: int, salt: int = 0) -> DataFrame:
@@ -79,19 +92,20 @@ def negative(striped: DataFrame, column: str, lookups: int, salt: int = 0) -> Da
     return free.where(F.col("n") < lookups).select(F.col("n").alias("i"), "value")
 
 
-def mixed(striped: DataFrame, column: str, lookups: int, tenths: int) -> DataFrame:
-    """(i, value): draw i is positive in tenths out of ten."""
-    hit = F.pmod(F.col("i") * 7 + 3, F.lit(10)) < tenths
-    yes = positive_distinct(striped, column, lookups, salt=1).where(hit)
-    no = negative(striped, column, lookups, salt=1).where(~hit)
-    return yes.select("i", F.col("value").cast("long").alias("value")).unionByName(no)
+def mixed(striped: DataFrame, column: str, lookups: int) -> dict[int, DataFrame]:
+    """By tenths: (i, value), where draw i is positive in tenths out of ten. Both kinds are drawn
+    once for all eleven."""
+    tenth = F.pmod(F.col("i") * 7 + 3, F.lit(10))
+    yes = positive_distinct(striped, column, lookups, salt=1).select("i", F.col("value").cast("long").alias("value"))
+    both = kept(yes.withColumn("yes", F.lit(True)).unionByName(negative(striped, column, lookups, salt=1).withColumn("yes", F.lit(False))))
+    return {t: both.where(F.col("yes") == (tenth < t)).select("i", "value") for t in range(11)}
 
 
 def workload(striped: DataFrame, column: str, case: str, lookups: int) -> dict[str, DataFrame]:
     """The lookups of a case by name; `mixed` gives eleven, from no to only positive ones."""
     plain = {"positive_uniform": positive_uniform, "positive_distinct": positive_distinct, "positive_zipf": positive_zipf, "negative": negative}
     if case == "mixed":
-        return {f"mixed/{t / 10:.1f}": mixed(striped, column, lookups, t) for t in range(11)}
+        return {f"mixed/{t / 10:.1f}": keys for t, keys in mixed(striped, column, lookups).items()}
     if case not in plain:
         raise ValueError(f"unknown test case: {case}")
     return {case: plain[case](striped, column, lookups)}
@@ -189,21 +203,12 @@ def usual_builders() -> list[Builder]:
 
 
 def bitmap_stats(striped: DataFrame, column: str, num_stripes: int) -> dict[str, float]:
-    """Measures of the column's stripe bitmaps laid end to end."""
-    sets = truth.value_stripes(striped, column).select(F.xxhash64("value").alias("bitmap_id"), "stripes")
-    bits = from_stripes(sets, num_stripes)
-    m = measures(bits).agg(F.count("*"), F.avg("density"), F.avg("clustering")).first()
-    r = roaring_size(bits).agg(F.sum("roaring_bytes")).first()[0]
-    c = codec_sizes(sets, num_stripes).first()
-    return {
-        "bitmap_density": m[1] or 0.0,
-        "bitmap_clustering": m[2] or 0.0,
-        "bitmap_bitpacked_size": bitpacked_size(m[0], num_stripes),
-        "bitmap_bitpacked_compressed_size": c[0] or 0,
-        "bitmap_roaring_individual_size": r or 0,
-        "bitmap_rle_size": c[1] or 0,
-        "bitmap_rle_compressed_size": c[2] or 0,
-    }
+    """Measures of the column's stripe bitmaps laid end to end by value, from their ones."""
+    sets = kept(truth.value_stripes(striped, column).withColumnRenamed("value", "bitmap_id"))
+    m = global_measures(sets, num_stripes).first()
+    sizes = codec_sizes(sets, num_stripes).first().asDict()
+    plain = {"density": m["density"], "clustering": m["clustering"], "bitpacked_size": bitpacked_size(m["bitmaps"], num_stripes)}
+    return {f"bitmap_{name}": value for name, value in (plain | sizes).items()}
 
 
 def experiments(
@@ -213,24 +218,28 @@ def experiments(
     builders: Sequence[Builder],
     cases: Sequence[str],
     lookups: int,
+    phases: Phases | None = None,
 ) -> DataFrame:
     """The grid of columns, stripe sizes, indexes and cases: a row each, with the columns of
     REPORT. assign gives the striped table and its number of stripes for a stripe size. A false
-    negative is an error."""
-    rows, spark = [], None
+    negative is an error. phases counts the time of measures, builds and lookups."""
+    rows, spark, phases = [], None, phases or Phases()
     for size in stripe_sizes:
         striped, n = assign(size)
         spark = striped.sparkSession
         for column in columns:
             kind = "STRING" if dict(striped.dtypes)[column] == "string" else "INT"
-            cardinality = striped.agg(F.count_distinct(column)).first()[0]
-            packed = compressed_size(striped, column).first()[0]
-            stats = bitmap_stats(striped, column, n)
+            with phases.phase("measures"):
+                cardinality = striped.agg(F.count_distinct(column)).first()[0]
+                packed = compressed_size(striped, column).first()[0]
+                stats = bitmap_stats(striped, column, n)
             tests = {k: v for case in cases for k, v in workload(striped, column, case, lookups).items()}
             for builder in builders:
-                built = builder(striped, column, n)
+                with phases.phase("builds"):
+                    built = builder(striped, column, n)
                 for name, keys in tests.items():
-                    o = outcome(built.candidates(keys), striped, column, keys, n).first()
+                    with phases.phase(f"lookups {built.name}"):
+                        o = outcome(built.candidates(keys), striped, column, keys, n).first()
                     if o["num_false_negatives"]:
                         raise AssertionError(f"{built.name} missed {o['num_false_negatives']} stripes of {column}")
                     known = {
