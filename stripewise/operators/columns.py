@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,22 +14,19 @@ NULL_TEXT = "NULL"
 
 
 def infer_types(df: DataFrame) -> dict[str, str]:
-    """`INT` for columns of text whose values are all digits (with a sign) or null, else
+    """`INT` for columns of text whose values are all digits that fit BIGINT, or null, else
     `STRING`; a column of blanks and nulls alone is STRING."""
-    checks = [
-        F.coalesce(F.bool_and(F.col(c).isNull() | (F.col(c) == "") | F.col(c).rlike("^-?[0-9]+$")), F.lit(False)).alias(c)
-        for c in df.columns
-    ]
+    number = lambda c: F.col(c).rlike("^[0-9]+$") & F.col(c).try_cast("bigint").isNotNull()
+    checks = [F.coalesce(F.bool_and(F.col(c).isNull() | (F.col(c) == "") | number(c)), F.lit(False)).alias(c) for c in df.columns]
     some = [F.coalesce(F.bool_or(F.col(c).rlike("[0-9]")), F.lit(False)).alias(f"{c}__some") for c in df.columns]
     found = df.agg(*checks, *some).first()
     return {c: "INT" if found[c] and found[f"{c}__some"] else "STRING" for c in df.columns}
 
 
 def typed(df: DataFrame) -> DataFrame:
-    """df of text with integer columns as BIGINT, blanks in them as null."""
-    return df.select(
-        *[F.expr(f"try_cast(nullif(`{c}`, '') as bigint)").alias(c) if t == "INT" else F.col(c) for c, t in infer_types(df).items()]
-    )
+    """df of text with integer columns as BIGINT, blanks in them as null. No value is lost: a
+    column with a number too large for BIGINT, or with a sign, stays text."""
+    return df.select(*[F.nullif(F.col(c), F.lit("")).cast("bigint").alias(c) if t == "INT" else F.col(c) for c, t in infer_types(df).items()])
 
 
 def dictionary(df: DataFrame, column: str) -> DataFrame:
@@ -83,21 +81,31 @@ def contains(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
 
 
 def compressed_size(striped: DataFrame, column: str) -> DataFrame:
-    """One row, size: bytes of the column compressed stripe by stripe (zstd, level 1); integers
-    as four bytes, or eight where they need them, strings behind their length."""
-    text = dict(striped.dtypes)[column] == "string"
+    """One row, size: bytes of the column compressed stripe by stripe (zstd, level 1); whole
+    numbers as four bytes, or eight where they need them, dates as days and timestamps as
+    microseconds in the same way, fractions as eight bytes, all else as text behind its length.
+    Nulls are zeros or empty."""
+    kind = dict(striped.dtypes)[column]
+    value = {"date": F.unix_date(column), "timestamp": F.unix_micros(column)}[kind] if kind in ("date", "timestamp") else F.col(column)
+    fraction = kind in ("double", "float") or kind.startswith("decimal")
+    text = not (fraction or kind in ("tinyint", "smallint", "int", "bigint", "date", "timestamp", "boolean"))
+    value = value.cast("double" if fraction else "string" if text else "bigint")
 
     def size(group: pd.DataFrame) -> pd.DataFrame:
         values = group.sort_values("row_id")["value"]
         if text:
             raw = b"".join(varint(len(b)) + b for b in (("" if v is None else v).encode() for v in values))
+        elif fraction:
+            raw = values.fillna(0).to_numpy().astype("<f8").tobytes()
         else:
-            numbers = values.fillna(0).astype("int64")
-            wide = len(numbers) and (numbers.abs() > 2**31 - 1).any()
-            raw = numbers.to_numpy().astype("<i8" if wide else "<i4").tobytes()
+            numbers = values.to_numpy().astype("<i8")
+            wide = (np.abs(numbers) > 2**31 - 1).any()
+            raw = numbers.astype("<i8" if wide else "<i4").tobytes()
         return pd.DataFrame({"size": [len(compress(raw))]})
 
-    rows = striped.select("stripe_id", "row_id", F.col(column).alias("value"))
+    # Nulls of whole numbers are filled first: beside one, pandas would make fractions of them.
+    moved = value if fraction or text else F.coalesce(value, F.lit(0).cast("bigint"))
+    rows = striped.select("stripe_id", "row_id", moved.alias("value"))
     return rows.groupBy("stripe_id").applyInPandas(size, "size long").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"))
 
 
