@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stripewise.functions.codecs import compress
 from stripewise.functions.hashing import hash64, md5_hash
@@ -19,12 +20,16 @@ def num_probes(bits_per_key: int) -> int:
     return min(30, max(1, int(bits_per_key * 0.69)))
 
 
-def _positions(value: Column, m: Column, k: int, md5: bool) -> Column:
-    """The k positions of a value by double hashing; md5 where another engine must agree."""
+def _hashes(value: Column, md5: bool) -> tuple[Column, Column]:
+    """Two hashes under 2**31; md5 where another engine must agree."""
     if md5:
-        one, two = md5_hash(1, value) % (1 << 31), md5_hash(2, value) % (1 << 31)
-    else:
-        one, two = (F.pmod(hash64(s, value), F.lit(1 << 31)) for s in (1, 2))
+        return md5_hash(1, value) % (1 << 31), md5_hash(2, value) % (1 << 31)
+    return F.pmod(hash64(1, value), F.lit(1 << 31)), F.pmod(hash64(2, value), F.lit(1 << 31))
+
+
+def _positions(value: Column, m: Column, k: int, md5: bool) -> Column:
+    """The k positions of a value by double hashing."""
+    one, two = _hashes(value, md5)
     return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.pmod(one + i * two, m).cast("int"))
 
 
@@ -43,22 +48,50 @@ def build(striped: DataFrame, column: str, bits_per_key: int = 10, md5: bool = F
     return words.agg(F.bit_or(bit).alias("bits"))
 
 
-def candidates(filters: DataFrame, probes: DataFrame, bits_per_key: int = 10, md5: bool = False) -> DataFrame:
+def _whole(words: np.ndarray, bits: np.ndarray, m: int) -> np.ndarray:
+    """A filter's words in place, those left out as zeros."""
+    out = np.zeros(-(-m // 64), np.uint64)
+    out[words] = bits.view(np.uint64)
+    return out
+
+
+def contains(words: np.ndarray, m: int, one: np.ndarray, two: np.ndarray, k: int) -> np.ndarray:
+    """Whether all k bits of each probe (its two hashes) are set in a filter; a probe that one
+    bit settles is not looked at again."""
+    left = np.arange(len(one))
+    for i in range(k):
+        at = (one[left] + i * two[left]) % m
+        left = left[(words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1]
+    out = np.zeros(len(one), bool)
+    out[left] = True
+    return out
+
+
+def candidates(filters: DataFrame, probes: DataFrame, bits_per_key: int = 10, md5: bool = False, block: int = 10_000) -> DataFrame:
     """(value, stripe_id) where all bits of the probe (value) are set.
 
-    Every probe asks every stripe, as each filter has its own length; the questions join the
-    words by (stripe_id, word), and are counted."""
+    Every probe asks every stripe, as each filter has its own length, in blocks: a filter is put
+    together once and read for a block of probes at a time, and only hits become rows."""
     k = num_probes(bits_per_key)
-    stripes = filters.select("stripe_id", "m").distinct()
+    whole = filters.groupBy("stripe_id", "m").agg(F.collect_list("word").alias("words"), F.collect_list("bits").alias("bits"))
     values = probes.select("value").where(F.col("value").isNotNull()).distinct()
-    asked = values.join(stripes).select(
-        "value", "stripe_id", F.explode(F.array_distinct(_positions(F.col("value"), F.col("m"), k, md5))).alias("pos")
+    one, two = _hashes(F.col("value"), md5)
+    hashed = values.select("value", one.alias("one"), two.alias("two"))
+    n = max(1, -(-values.count() // block))
+    blocks = hashed.groupBy(F.pmod(F.xxhash64("value"), F.lit(n)).alias("part")).agg(
+        F.collect_list("value").alias("values"), F.collect_list("one").alias("one"), F.collect_list("two").alias("two")
     )
-    asked = asked.withColumn("word", F.expr("pos div 64"))
-    is_set = F.call_function("shiftrightunsigned", F.col("bits"), (F.col("pos") % 64).cast("int")).bitwiseAND(F.lit(1).cast("long"))
-    need = asked.groupBy("value", "stripe_id").agg(F.count("*").alias("need"))
-    hit = asked.join(filters, ["stripe_id", "word"]).groupBy("value", "stripe_id").agg(F.sum(is_set).alias("hit"))
-    return need.join(hit, ["value", "stripe_id"]).where("need = hit").select("value", "stripe_id")
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def hits(m: pd.Series, words: pd.Series, bits: pd.Series, one: pd.Series, two: pd.Series) -> pd.Series:
+        out = []
+        for size, w, b, x, y in zip(m, words, bits, one, two, strict=True):
+            found = contains(_whole(np.asarray(w, np.int64), np.asarray(b, np.int64), int(size)), int(size), np.asarray(x, np.int64), np.asarray(y, np.int64), k)
+            out.append(np.flatnonzero(found).astype(np.int32))
+        return pd.Series(out)
+
+    asked = whole.join(blocks).select("stripe_id", "values", hits("m", "words", "bits", "one", "two").alias("hit"))
+    return asked.select(F.explode(F.transform("hit", lambda i: F.get("values", i))).alias("value"), "stripe_id")
 
 
 def sizes(filters: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from enum import Enum
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stripewise.functions.hashing import (
@@ -219,11 +219,37 @@ def lookup(index: Index, probes: DataFrame) -> DataFrame:
     home = lambda rank, h: F.struct(F.lit(rank).alias("rank"), (F.col(h) % F.col("buckets")).alias("bucket"))
     both = asked.select("value", "shard", F.col("fp").alias("probe_fp"), F.explode(F.array(home(0, "h1"), home(1, "h2"))).alias("b"))
     both = both.select("value", "shard", "probe_fp", "b.rank", "b.bucket")
-    hit = both.join(index.slots, ["shard", "bucket"]).where(
-        fingerprint_bits(F.col("probe_fp"), F.col("num_bits"), F.col("use_prefix")) == F.col("fp")
-    )
-    first = hit.groupBy("value").agg(F.min_by("stripes", "rank").alias("stripes"))
-    return values.join(first, "value", "left").withColumn("stripes", F.coalesce("stripes", F.array().cast("array<int>")))
+    met = both.join(index.slots, ["shard", "bucket"], "left")
+    hit = fingerprint_bits(F.col("probe_fp"), F.col("num_bits"), F.col("use_prefix")) == F.col("fp")
+    none = F.array().cast("array<int>")
+    found = met.groupBy("value").agg(F.coalesce(F.min_by("stripes", F.when(hit, F.col("rank"))), none).alias("stripes"))
+    return found.unionByName(values.where(F.col("value").isNull()).select("value", none.alias("stripes")))
+
+
+def save(index: Index, path: str) -> None:
+    """The index as tables under path; load() reads it in another session."""
+    spark, config = index.slots.sparkSession, index.config
+    index.slots.repartition("shard").sortWithinPartitions("shard", "bucket", "slot").write.mode("overwrite").parquet(f"{path}/slots")
+    index.shards.write.mode("overwrite").parquet(f"{path}/shards")
+    row = (index.num_shards, index.num_stripes, config.slots, config.load_factor, config.scan_rate, config.algorithm.value, config.prefix_bits)
+    names = "num_shards int, num_stripes int, slots int, load_factor double, scan_rate double, algorithm int, prefix_bits boolean"
+    spark.createDataFrame([row], names).coalesce(1).write.mode("overwrite").parquet(f"{path}/config")
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    """The index that save() wrote."""
+    row = spark.read.parquet(f"{path}/config").first()
+    config = Config(row["slots"], row["load_factor"], row["scan_rate"], Algorithm(row["algorithm"]), row["prefix_bits"])
+    return Index(spark.read.parquet(f"{path}/slots"), spark.read.parquet(f"{path}/shards"), row["num_shards"], row["num_stripes"], config)
+
+
+def stats(index: Index) -> DataFrame:
+    """A row for each number of values that a bucket holds, 0 included: buckets, and their share."""
+    held = index.slots.groupBy("shard", "bucket").agg(F.count("*").alias("held")).groupBy("held").agg(F.count("*").alias("buckets"))
+    full = held.agg(F.sum("buckets").alias("n"))
+    total = index.shards.agg(F.sum("buckets").alias("total"))
+    empty = total.crossJoin(full).select(F.lit(0).cast("long").alias("held"), (F.col("total") - F.coalesce("n", F.lit(0))).alias("buckets"))
+    return held.unionByName(empty).crossJoin(total).select("held", "buckets", (F.col("buckets") / F.col("total")).alias("share"))
 
 
 def candidates(index: Index, probes: DataFrame) -> DataFrame:
@@ -241,8 +267,12 @@ def same_length(slots: DataFrame) -> DataFrame:
 
 
 def blocks(index: Index) -> DataFrame:
-    """(num_bits, buckets, fingerprints): the fingerprints by length, the longest list first."""
+    """(num_bits, buckets, fingerprints): the buckets by the length of their fingerprints, that of
+    most buckets first; empty buckets have length 0."""
     by_length = index.slots.groupBy("num_bits").agg(
         F.count_distinct("shard", "bucket").alias("buckets"), F.count("*").alias("fingerprints")
     )
-    return by_length.orderBy(F.desc("buckets"), "num_bits")
+    used = by_length.agg(F.coalesce(F.sum("buckets"), F.lit(0)).alias("used"))
+    empty = index.shards.agg(F.sum("buckets").alias("total")).crossJoin(used).where("total > used")
+    empty = empty.select(F.lit(0).alias("num_bits"), (F.col("total") - F.col("used")).alias("buckets"), F.lit(0).cast("long").alias("fingerprints"))
+    return by_length.unionByName(empty).orderBy(F.desc("buckets"), "num_bits")

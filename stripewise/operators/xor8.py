@@ -89,7 +89,7 @@ def candidates(filters: DataFrame, probes: DataFrame, block: int = 10_000) -> Da
     """(value, stripe_id) that the filters let through; probes (value) go to every stripe in
     blocks, so that a filter is read once per block and not once per probe."""
     values = probes.select("value").where(F.col("value").isNotNull()).distinct()
-    n = max(1, values.count() // block)
+    n = max(1, -(-values.count() // block))
     blocks = values.withColumn("h", hash64(5, F.col("value"))).groupBy(F.pmod("h", F.lit(n)).alias("part"))
     blocks = blocks.agg(F.collect_list(F.struct("value", "h")).alias("p"))
     asked = blocks.join(filters).select("stripe_id", "p", _contain("payload", F.col("p.h")).alias("in"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from stripewise.functions.codecs import compress
 NAME = "ZoneMap"
 ENTRY_BYTES = 8
 BINS = 64
+BLOCK = 65_536
 #: Stripes that zones are sent to every task for: a few megabytes at most.
 MOST_SENT = 100_000
 
@@ -34,7 +36,14 @@ def candidates(zones: DataFrame, probes: DataFrame) -> DataFrame:
     values = probes.select("value").where(F.col("value").isNotNull()).distinct()
     if zones.count() <= MOST_SENT:
         return values.join(F.broadcast(zones), F.col("value").between(F.col("min"), F.col("max"))).select("value", "stripe_id")
-    if dict(zones.dtypes)["min"] not in ("int", "bigint", "smallint", "double", "float"):
+    kind = dict(zones.dtypes)["min"]
+    if kind in ("date", "timestamp"):
+        number = F.unix_date if kind == "date" else F.unix_micros
+        numbers = zones.select("stripe_id", number("min").alias("min"), number("max").alias("max"))
+        met = candidates(numbers, values.select(number("value").alias("value")))
+        named = values.withColumn("number", number("value"))
+        return met.withColumnRenamed("value", "number").join(named, "number").select("value", "stripe_id")
+    if kind not in ("int", "bigint", "smallint", "double", "float"):
         return values.join(zones, F.col("value").between(F.col("min"), F.col("max"))).select("value", "stripe_id")
     ends = zones.agg(F.min("min"), F.max("max")).first()
     width = max((float(ends[1]) - float(ends[0])) / BINS, 1e-300)
@@ -45,8 +54,26 @@ def candidates(zones: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def sizes(zones: DataFrame) -> tuple[int, int]:
-    """Bytes of the zones, and of all minima and then all maxima compressed. One row a stripe
-    comes to the driver; use the first figure alone where stripes are many."""
-    rows = zones.orderBy("stripe_id").select(F.col("min").cast("string"), F.col("max").cast("string")).collect()
-    raw = "".join(f"{r[0]}\n" for r in rows) + "".join(f"{r[1]}\n" for r in rows)
-    return ENTRY_BYTES * len(rows), len(compress(raw.encode()))
+    """Bytes of the zones, and of all minima and then all maxima of each BLOCK zones compressed
+    and added up; the blocks are compressed where they lie."""
+
+    def packed(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("stripe_id")
+        raw = "".join(f"{v}\n" for side in ("min", "max") for v in group[side])
+        return pd.DataFrame({"zones": [len(group)], "packed": [len(compress(raw.encode()))]})
+
+    block = F.expr(f"stripe_id div {BLOCK}").alias("block")
+    rows = zones.select(block, "stripe_id", F.col("min").cast("string"), F.col("max").cast("string"))
+    found = rows.groupBy("block").applyInPandas(packed, "zones long, packed long").agg(F.sum("zones"), F.sum("packed")).first()
+    return ENTRY_BYTES * (found[0] or 0), found[1] or 0
+
+
+def stats(zones: DataFrame, column_range: tuple) -> DataFrame:
+    """One row: zones, those without values, and the mean share of the column's range (least,
+    largest) that a zone covers; numbers only."""
+    span = float(column_range[1]) - float(column_range[0]) or 1.0
+    return zones.agg(
+        F.count("*").alias("zones"),
+        F.count_if(F.col("min").isNull()).alias("empty_zones"),
+        F.avg((F.col("max") - F.col("min")) / F.lit(span)).alias("mean_width"),
+    )
