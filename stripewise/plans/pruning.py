@@ -7,21 +7,23 @@ from pyspark.sql import functions as F
 
 #: Stripes named in a filter; more are joined, which prunes while the query runs.
 MOST_LISTED = 10_000
+ROW_GROUP_BYTES = 16 << 20
 
 
 def write_striped(striped: DataFrame, path: str) -> None:
-    """The striped table (tail included) as a folder per stripe."""
-    striped.repartitionByRange("stripe_id").sortWithinPartitions("stripe_id", "row_id").write.mode("overwrite").partitionBy(
-        "stripe_id"
-    ).parquet(path)
+    """The striped table (tail included) as files of many stripes each, sorted by stripe, so that
+    the statistics of their row groups and pages lead a reader to a stripe. The number of files
+    follows the size of the table and not the number of stripes."""
+    ordered = striped.repartitionByRange("stripe_id").sortWithinPartitions("stripe_id", "row_id")
+    ordered.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
 
 
 def pruned_scan(spark: SparkSession, path: str, column: str, values: list, candidates: DataFrame, num_stripes: int) -> DataFrame:
     """Rows of the table at path whose column has one of the values.
 
     candidates: (value, stripe_id) from any index. Their stripes, and the tail behind the last
-    complete one, become a filter on the folders; the values are filtered for again, so a
-    stripe too many does no harm."""
+    complete one, become a filter on stripe_id, which Spark pushes down to the files; the values
+    are filtered for again, so a stripe too many does no harm."""
     table = spark.read.parquet(path)
     hit = candidates.where(F.col("value").isin(values)).select("stripe_id").distinct()
     listed = [r[0] for r in hit.limit(MOST_LISTED + 1).collect()]

@@ -1,4 +1,4 @@
-"""A data source over striped Parquet folders that turns `column = value` into stripes to read."""
+"""A data source over striped Parquet files that turns `column = value` into stripes to read."""
 
 from __future__ import annotations
 
@@ -10,10 +10,15 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from pyspark.sql.types import StructType
 
 
+TASKS = 200  # that the stripes left are read by
+
+
 class StripePartition(InputPartition):
-    def __init__(self, stripe: int) -> None:
-        super().__init__(stripe)
-        self.stripe = stripe
+    """Stripes that one task reads."""
+
+    def __init__(self, stripes: list[int]) -> None:
+        super().__init__(stripes)
+        self.stripes = stripes
 
 
 class StripedSource(DataSource):
@@ -56,7 +61,8 @@ class StripedReader(DataSourceReader):
         return zone is not None and zone[0] is not None and any(v is not None and zone[0] <= v <= zone[1] for v in values)
 
     def partitions(self) -> list[StripePartition]:
-        return [StripePartition(s) for s in self.left]
+        size = max(1, -(-len(self.left) // TASKS))
+        return [StripePartition(self.left[i : i + size]) for i in range(0, len(self.left), size)]
 
     def read(self, partition: StripePartition):
         import pyarrow.dataset as ds
@@ -64,11 +70,9 @@ class StripedReader(DataSourceReader):
 
         if partition is None:  # what Spark makes of no partitions at all
             return
-        path = f"{self.path}/stripe_id={partition.stripe}"
-        files, inner = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-        if files.get_file_info(inner).type == fs.FileType.NotFound:
-            return
-        yield from ds.dataset(inner, filesystem=files, format="parquet").to_batches(columns=self.names)
+        files, inner = fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
+        table = ds.dataset(inner, filesystem=files, format="parquet", exclude_invalid_files=True)
+        yield from table.to_batches(columns=self.names, filter=ds.field("stripe_id").isin(partition.stripes))
 
 
 def filtered(spark: SparkSession, condition: Column, **options: str) -> DataFrame:
