@@ -11,6 +11,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stripewise.functions.profiling import Phases
 from stripewise.operators import evaluate, stripes
 from stripewise.session import kept, session
 from stripewise.sources import tables
@@ -52,7 +53,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
         return stripes.assign_stripes(df, size, *order), stripes.num_stripes(df, size)
 
     sizes = [int(s) for s in args.num_rows_per_stripe_to_test.split(",")]
-    results = evaluate.experiments(assign, names, sizes, evaluate.usual_builders(), args.test_cases.split(","), args.num_lookups)
+    phases = Phases()
+    results = evaluate.experiments(assign, names, sizes, evaluate.usual_builders(), args.test_cases.split(","), args.num_lookups, phases)
+    print(*phases.lines(), sep="\n")
     evaluate.write_report(results, args.output_csv)
     return results
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stripewise.functions.hashing import collision_free_bits, prefix, scan_rate_bits, suffix
 from stripewise.operators import bitmaps, bloom, columns, cuckoo, evaluate, stripes, truth, xor8, zonemap
+from stripewise.session import scratch
 from stripewise.sources import tables
 
 ROWS = 1024
@@ -19,22 +20,25 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its function's name, with its SQL."""
+def query(sql: str | None = None, also: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name (and another, older one), with its SQL."""
 
     def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
+        for name in (f.__name__, also):
+            if name:
+                QUERIES[name] = f
+                if sql:
+                    ORACLES[name] = sql
         return f
 
     return register
 
 
-def orders(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
-    """Orders in stripes, by key; and how many."""
-    table = tables.parquet(spark, d, "orders")
-    return stripes.assign_stripes(table, ROWS, "o_orderkey"), stripes.num_stripes(table, ROWS)
+def orders(spark: SparkSession, d: str, *names: str, rows: int = ROWS) -> tuple[DataFrame, int]:
+    """Orders in stripes, by key, with the columns asked for (the customer's key by default); and
+    how many stripes. Other columns are neither read nor sorted."""
+    table = tables.parquet(spark, d, "orders").select("o_orderkey", *(names or ("o_custkey",)))
+    return stripes.assign_stripes(table, rows, "o_orderkey"), stripes.num_stripes(table, rows)
 
 
 # SQL parts: orders with row and stripe numbers, complete stripes only.
@@ -68,9 +72,9 @@ def num_stripes(spark, d):
     return spark.createDataFrame(found, "name string, num_stripes long")
 
 
-@query("""SELECT 'o_custkey' AS name, CASE WHEN bool_and(regexp_full_match(o_custkey::VARCHAR, '-?[0-9]+')) THEN 'INT' ELSE 'STRING' END AS type FROM orders
-UNION ALL SELECT 'o_orderpriority', CASE WHEN bool_and(regexp_full_match(o_orderpriority, '-?[0-9]+')) THEN 'INT' ELSE 'STRING' END FROM orders
-UNION ALL SELECT 'o_totalprice', CASE WHEN bool_and(regexp_full_match(o_totalprice::VARCHAR, '-?[0-9]+')) THEN 'INT' ELSE 'STRING' END FROM orders""")
+@query("""SELECT 'o_custkey' AS name, CASE WHEN bool_and(regexp_full_match(o_custkey::VARCHAR, '[0-9]+') AND TRY_CAST(o_custkey AS BIGINT) IS NOT NULL) THEN 'INT' ELSE 'STRING' END AS type FROM orders
+UNION ALL SELECT 'o_orderpriority', CASE WHEN bool_and(regexp_full_match(o_orderpriority, '[0-9]+') AND TRY_CAST(o_orderpriority AS BIGINT) IS NOT NULL) THEN 'INT' ELSE 'STRING' END FROM orders
+UNION ALL SELECT 'o_totalprice', CASE WHEN bool_and(regexp_full_match(o_totalprice::VARCHAR, '[0-9]+')) THEN 'INT' ELSE 'STRING' END FROM orders""")
 def csv_infer(spark, d):
     names = ["o_custkey", "o_orderpriority", "o_totalprice"]
     text = tables.parquet(spark, d, "orders").select(*[F.col(c).cast("string").alias(c) for c in names])
@@ -145,15 +149,6 @@ def table_csv(spark, d):
     return columns.csv_lines(rows, ["o_custkey", "o_orderstatus", "o_orderpriority"])
 
 
-@query(f"""WITH {S}, p AS (SELECT v.value, s.stripe_id FROM (SELECT DISTINCT value FROM t WHERE value % 50 = 0) v, (SELECT DISTINCT stripe_id FROM s) s)
-SELECT p.value, p.stripe_id, t.value IS NOT NULL AS found FROM p LEFT JOIN t USING (value, stripe_id)""")
-def truth_stripe_contains(spark, d):
-    striped, n = orders(spark, d)
-    values = truth.pairs(striped, "o_custkey").where("value % 50 = 0").select("value").distinct()
-    probes = values.select("value", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("stripe_id"))
-    return truth.stripe_contains(striped, "o_custkey", probes)
-
-
 def _every_pair(striped: DataFrame, n: int) -> DataFrame:
     """(value, stripe_id): every customer of the stripes with every stripe."""
     values = truth.pairs(striped, "o_custkey").select("value").distinct()
@@ -161,7 +156,7 @@ def _every_pair(striped: DataFrame, n: int) -> DataFrame:
 
 
 @query(f"""WITH {S}, p AS (SELECT v.value, s.stripe_id FROM (SELECT DISTINCT value FROM t) v, (SELECT DISTINCT stripe_id FROM s) s)
-SELECT p.value, p.stripe_id, t.value IS NOT NULL AS found FROM p LEFT JOIN t USING (value, stripe_id)""")
+SELECT p.value, p.stripe_id, t.value IS NOT NULL AS found FROM p LEFT JOIN t USING (value, stripe_id)""", also="truth_stripe_contains")
 def truth_stripe_contains_all(spark, d):
     striped, n = orders(spark, d)
     return truth.stripe_contains(striped, "o_custkey", _every_pair(striped, n))
@@ -184,34 +179,16 @@ def zone_map_build(spark, d):
     return zonemap.build(orders(spark, d)[0], "o_custkey")
 
 
-@query(f"""WITH {S}, x AS (SELECT stripe_id, min(o_orderdate) AS lo, max(o_orderdate) AS hi FROM s GROUP BY 1),
-k AS (SELECT DISTINCT o_orderdate AS value FROM s WHERE o_custkey % 20 = 0)
-SELECT value, stripe_id FROM k JOIN x ON value BETWEEN lo AND hi""")
-def zone_map_dates(spark, d):
-    striped, _ = orders(spark, d)
-    keys = striped.where("o_custkey % 20 = 0").select(F.col("o_orderdate").alias("value"))
-    return zonemap.candidates(zonemap.build(striped, "o_orderdate"), keys)
-
-
-@query(f"""WITH {S}, p AS (SELECT v.value, z.* FROM (SELECT DISTINCT value FROM t WHERE value % 50 = 0) v, z)
-SELECT value, stripe_id, value BETWEEN min AND max AS maybe FROM p""")
-def zone_map_probe(spark, d):
-    striped, n = orders(spark, d)
-    values = truth.pairs(striped, "o_custkey").where("value % 50 = 0").select("value").distinct()
-    probes = values.select("value", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("stripe_id"))
-    return zonemap.probe(zonemap.build(striped, "o_custkey"), probes)
-
-
 @query(f"""WITH {S}, x AS (SELECT stripe_id, min(o_orderdate) AS lo, max(o_orderdate) AS hi FROM s GROUP BY 1),
 k AS (SELECT DISTINCT o_orderdate AS value FROM orders)
-SELECT value, stripe_id FROM k JOIN x ON value BETWEEN lo AND hi""")
+SELECT value, stripe_id FROM k JOIN x ON value BETWEEN lo AND hi""", also="zone_map_dates")
 def zone_map_dates_all(spark, d):
     keys = tables.parquet(spark, d, "orders").select(F.col("o_orderdate").alias("value"))
-    return zonemap.candidates(zonemap.build(orders(spark, d)[0], "o_orderdate"), keys)
+    return zonemap.candidates(zonemap.build(orders(spark, d, "o_orderdate")[0], "o_orderdate"), keys)
 
 
 @query(f"""WITH {S}, p AS (SELECT v.value, z.* FROM (SELECT DISTINCT value FROM t) v, z)
-SELECT value, stripe_id, value BETWEEN min AND max AS maybe FROM p""")
+SELECT value, stripe_id, value BETWEEN min AND max AS maybe FROM p""", also="zone_map_probe")
 def zone_map_probe_all(spark, d):
     striped, n = orders(spark, d)
     return zonemap.probe(zonemap.build(striped, "o_custkey"), _every_pair(striped, n))
@@ -293,12 +270,9 @@ def _cuckoo(spark, d, config=cuckoo.Config()) -> tuple[cuckoo.Index, DataFrame,
 
 
 @query(f"WITH {S} {SETS}")
-def cuckoo_positive_lookup(spark, d):
-    table = tables.parquet(spark, d, "orders")
-    size = ROWS if table.count() >= 4 * ROWS else 128
-    striped = stripes.assign_stripes(table, size, "o_orderkey")
-    index = cuckoo.build(striped, "o_custkey", stripes.num_stripes(table, size))
-    return _joined(cuckoo.lookup(index, truth.pairs(striped, "o_custkey")))
+def cuckoo_positive_lookup(spark, d, rows=ROWS):
+    striped, n = orders(spark, d, rows=rows)
+    return _joined(cuckoo.lookup(cuckoo.build(striped, "o_custkey", n), truth.pairs(striped, "o_custkey")))
 
 
 @query(f"WITH {S} {SETS}")
@@ -337,42 +311,9 @@ def cuckoo_blocks(spark, d):
     return cuckoo.blocks(_cuckoo(spark, d)[0])
 
 
-@query("""WITH b AS (SELECT range AS n FROM range(65)), f AS (SELECT o_orderkey * 1000003 + 12345 AS fp FROM orders WHERE o_orderkey < 100)
-SELECT fp, n::INT AS n, CASE WHEN n >= 64 THEN fp WHEN n = 0 THEN 0 ELSE (fp::HUGEINT % (1::HUGEINT << n::INT))::BIGINT END AS suffix,
-CASE WHEN n = 0 THEN 0 WHEN n >= 64 THEN fp ELSE (fp::HUGEINT // (1::HUGEINT << (64 - n)::INT))::BIGINT END AS prefix FROM f, b""")
-def fingerprint_prefix_suffix(spark, d):
-    fps = tables.parquet(spark, d, "orders").where("o_orderkey < 100").select((F.col("o_orderkey") * 1000003 + 12345).alias("fp"))
-    each = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("n"))
-    return each.select("fp", "n", suffix(F.col("fp"), F.col("n")).alias("suffix"), prefix(F.col("fp"), F.col("n")).alias("prefix"))
-
-
-@query("""WITH f AS (SELECT o_orderkey // 8 AS bucket, ('0x' || substr(md5('42:' || o_orderkey), 1, 15))::BIGINT AS fp FROM orders WHERE o_orderkey < 800),
-c AS (SELECT bucket, n, count(DISTINCT fp % (1::BIGINT << n::INT)) = count(*) AS differ FROM f, (SELECT range AS n FROM range(1, 60)) GROUP BY bucket, n)
-SELECT bucket, min(n)::INT AS bits FROM c WHERE differ GROUP BY bucket""")
-def min_collision_free_bits(spark, d):
-    from stripewise.functions.hashing import md5_hash
-
-    rows = tables.parquet(spark, d, "orders").where("o_orderkey < 800")
-    rows = rows.select(F.expr("o_orderkey div 8").alias("bucket"), md5_hash(42, F.col("o_orderkey")).alias("fp"))
-    grouped = rows.groupBy("bucket").agg(F.collect_list("fp").alias("fps"))
-    return grouped.select("bucket", collision_free_bits(F.col("fps")).cast("int").alias("bits"))
-
-
-@query("""WITH x AS (SELECT o_orderkey AS k, (o_orderkey % 5)::INT AS least, (1 + o_orderkey % 97) / 97.0::DOUBLE AS density, (1 + o_orderkey % 89) / 89.0::DOUBLE AS ones FROM orders WHERE o_orderkey < 2000)
-SELECT k, greatest(least, (SELECT min(n) FROM range(66) r(n) WHERE 2 * density * ones / 2::DOUBLE ** n <= 0.01))::INT AS bits FROM x""")
-def scan_rate_widening(spark, d):
-    x = tables.parquet(spark, d, "orders").where("o_orderkey < 2000").select(
-        F.col("o_orderkey").alias("k"),
-        (F.col("o_orderkey") % 5).cast("int").alias("least"),
-        ((1 + F.col("o_orderkey") % 97) / F.lit(97.0)).alias("density"),
-        ((1 + F.col("o_orderkey") % 89) / F.lit(89.0)).alias("ones"),
-    )
-    return x.select("k", scan_rate_bits(F.col("least"), F.col("density"), F.col("ones"), 0.01).alias("bits"))
-
-
 @query("""WITH b AS (SELECT range AS n FROM range(65)), f AS (SELECT o_orderkey * 1000003 + 12345 AS fp FROM orders)
 SELECT fp, n::INT AS n, CASE WHEN n >= 64 THEN fp WHEN n = 0 THEN 0 ELSE (fp::HUGEINT % (1::HUGEINT << n::INT))::BIGINT END AS suffix,
-CASE WHEN n = 0 THEN 0 WHEN n >= 64 THEN fp ELSE (fp::HUGEINT // (1::HUGEINT << (64 - n)::INT))::BIGINT END AS prefix FROM f, b""")
+CASE WHEN n = 0 THEN 0 WHEN n >= 64 THEN fp ELSE (fp::HUGEINT // (1::HUGEINT << (64 - n)::INT))::BIGINT END AS prefix FROM f, b""", also="fingerprint_prefix_suffix")
 def fingerprint_prefix_suffix_all(spark, d):
     fps = tables.parquet(spark, d, "orders").select((F.col("o_orderkey") * 1000003 + 12345).alias("fp"))
     each = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("n"))
@@ -381,7 +322,7 @@ def fingerprint_prefix_suffix_all(spark, d):
 
 @query("""WITH f AS (SELECT o_orderkey // 8 AS bucket, ('0x' || substr(md5('42:' || o_orderkey), 1, 15))::BIGINT AS fp FROM orders),
 c AS (SELECT bucket, n, count(DISTINCT fp % (1::BIGINT << n::INT)) = count(*) AS differ FROM f, (SELECT range AS n FROM range(0, 61)) GROUP BY bucket, n)
-SELECT bucket, min(n)::INT AS bits FROM c WHERE differ GROUP BY bucket""")
+SELECT bucket, min(n)::INT AS bits FROM c WHERE differ GROUP BY bucket""", also="min_collision_free_bits")
 def min_collision_free_bits_all(spark, d):
     from stripewise.functions.hashing import md5_hash
 
@@ -392,7 +333,7 @@ def min_collision_free_bits_all(spark, d):
 
 
 @query("""WITH x AS (SELECT o_orderkey AS k, (o_orderkey % 5)::INT AS least, (1 + o_orderkey % 97) / 97.0::DOUBLE AS density, (1 + o_orderkey % 89) / 89.0::DOUBLE AS ones FROM orders)
-SELECT k, greatest(least, (SELECT min(n) FROM range(66) r(n) WHERE 2 * density * ones / 2::DOUBLE ** n <= 0.01))::INT AS bits FROM x""")
+SELECT k, greatest(least, (SELECT min(n) FROM range(66) r(n) WHERE 2 * density * ones / 2::DOUBLE ** n <= 0.01))::INT AS bits FROM x""", also="scan_rate_widening")
 def scan_rate_widening_all(spark, d):
     x = tables.parquet(spark, d, "orders").select(
         F.col("o_orderkey").alias("k"),
@@ -403,54 +344,6 @@ def scan_rate_widening_all(spark, d):
     return x.select("k", scan_rate_bits(F.col("least"), F.col("density"), F.col("ones"), 0.01).alias("bits"))
 
 
-BITS = f"""{S}, b AS (SELECT v.value AS bitmap_id, x.stripe_id AS pos, (t.value IS NOT NULL)::INT AS bit
-FROM (SELECT DISTINCT value FROM t WHERE value % 10 = 1) v CROSS JOIN (SELECT DISTINCT stripe_id FROM s) x LEFT JOIN t ON t.value = v.value AND t.stripe_id = x.stripe_id)"""
-
-
-def _bits(spark, d) -> tuple[DataFrame, int]:
-    """Stripe bitmaps of every tenth customer."""
-    striped, n = orders(spark, d)
-    sets = truth.value_stripes(striped.where("o_custkey % 10 = 1"), "o_custkey").withColumnRenamed("value", "bitmap_id")
-    return bitmaps.from_stripes(sets, n), n
-
-
-@query(f"WITH {BITS} SELECT bitmap_id, pos, bit, coalesce(sum(bit) OVER (PARTITION BY bitmap_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS rank FROM b")
-def bitmap_rank(spark, d):
-    return bitmaps.rank(_bits(spark, d)[0])
-
-
-@query(f"WITH {BITS} SELECT bitmap_id, row_number() OVER (PARTITION BY bitmap_id ORDER BY pos) - 1 AS ith, pos FROM b WHERE bit = 1")
-def bitmap_select_one(spark, d):
-    return bitmaps.select(_bits(spark, d)[0], 1)
-
-
-@query(f"WITH {BITS} SELECT bitmap_id, row_number() OVER (PARTITION BY bitmap_id ORDER BY pos) - 1 AS ith, pos FROM b WHERE bit = 0")
-def bitmap_select_zero(spark, d):
-    return bitmaps.select(_bits(spark, d)[0], 0)
-
-
-@query(f"""WITH {BITS}, g AS (SELECT *, pos - row_number() OVER (PARTITION BY bitmap_id ORDER BY pos) AS island FROM b WHERE bit = 1),
-c AS (SELECT bitmap_id, count(*)::DOUBLE / count(DISTINCT island) AS clustering FROM g GROUP BY bitmap_id)
-SELECT bitmap_id, count(*) AS bits, sum(bit)::BIGINT AS ones, avg(bit) AS density, coalesce(max(clustering), 0) AS clustering FROM b LEFT JOIN c USING (bitmap_id) GROUP BY bitmap_id""")
-def bitmap_measures(spark, d):
-    return bitmaps.measures(_bits(spark, d)[0])
-
-
-@query(f"WITH {BITS} SELECT bitmap_id, pos, row_number() OVER (ORDER BY bitmap_id, pos) - 1 AS global_pos, bit FROM b")
-def bitmap_global(spark, d):
-    return bitmaps.concatenated(_bits(spark, d)[0])
-
-
-@query(f"WITH {BITS} SELECT bitmap_id, pos, (pos - lag(pos, 1, -1) OVER (PARTITION BY bitmap_id ORDER BY pos))::BIGINT AS gap FROM b WHERE bit = 1")
-def bitmap_sparse_gaps(spark, d):
-    return bitmaps.gaps(_bits(spark, d)[0])
-
-
-@query(f"WITH {BITS} SELECT bitmap_id, pos - 3 AS pos, bit FROM b WHERE pos BETWEEN 3 AND 8")
-def bitmap_extract(spark, d):
-    return bitmaps.extract(_bits(spark, d)[0], 3, 6)
-
-
 @query(f"WITH {S} SELECT ceil(count(DISTINCT value) * (SELECT n FROM n) / 8.0)::BIGINT AS bytes FROM t")
 def bitmap_bitpacked_size(spark, d):
     striped, n = orders(spark, d)
@@ -458,12 +351,6 @@ def bitmap_bitpacked_size(spark, d):
     return spark.createDataFrame([(bitmaps.bitpacked_size(values, n),)], "bytes long")
 
 
-@query(f"""WITH {BITS}, g AS (SELECT *, pos - row_number() OVER (PARTITION BY bitmap_id ORDER BY pos) AS island FROM b WHERE bit = 1)
-SELECT bitmap_id, least(2 * count(*), 8192, 2 + 4 * count(DISTINCT island)) AS roaring_bytes FROM g GROUP BY bitmap_id""")
-def roaring_size_formula(spark, d):
-    return bitmaps.roaring_size(_bits(spark, d)[0])
-
-
 # The whole column: sizes go with the ones, and zeros and ranks are given as runs of positions.
 ONES = f"""{S}, v AS (SELECT DISTINCT value FROM t),
 c AS (SELECT value AS bitmap_id, pos, row_number() OVER w - 1 AS ith, lag(pos, 1, -1) OVER w AS last
@@ -478,45 +365,45 @@ def _sets(spark, d) -> tuple[DataFrame, int]:
     return truth.value_stripes(striped, "o_custkey").withColumnRenamed("value", "bitmap_id"), n
 
 
-@query(f"WITH {ONES} SELECT bitmap_id, last + 1 AS pos, least(pos, n.n - 1) - last AS length, ith AS rank FROM c, n WHERE last + 1 < n.n")
+@query(f"WITH {ONES} SELECT bitmap_id, last + 1 AS pos, least(pos, n.n - 1) - last AS length, ith AS rank FROM c, n WHERE last + 1 < n.n", also="bitmap_rank")
 def bitmap_rank_all(spark, d):
     return bitmaps.rank_steps(*_sets(spark, d))
 
 
-@query(f"WITH {ONES} SELECT bitmap_id, ith, pos FROM b")
+@query(f"WITH {ONES} SELECT bitmap_id, ith, pos FROM b", also="bitmap_select_one")
 def bitmap_select_one_all(spark, d):
     return bitmaps.ones(_sets(spark, d)[0]).drop("gap")
 
 
-@query(f"WITH {ONES} SELECT bitmap_id, last + 1 - ith AS ith, last + 1 AS pos, pos - last - 1 AS length FROM c WHERE pos - last > 1")
+@query(f"WITH {ONES} SELECT bitmap_id, last + 1 - ith AS ith, last + 1 AS pos, pos - last - 1 AS length FROM c WHERE pos - last > 1", also="bitmap_select_zero")
 def bitmap_select_zero_all(spark, d):
     return bitmaps.zero_runs(*_sets(spark, d))
 
 
-@query(f"WITH {ONES}, r AS ({RUNS}) SELECT bitmap_id, n.n AS bits, ones, ones / n.n AS density, ones / runs AS clustering FROM r, n")
+@query(f"WITH {ONES}, r AS ({RUNS}) SELECT bitmap_id, n.n AS bits, ones, ones / n.n AS density, ones / runs AS clustering FROM r, n", also="bitmap_measures")
 def bitmap_measures_all(spark, d):
     return bitmaps.set_measures(*_sets(spark, d))
 
 
 @query(f"""WITH {ONES}, k AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS nth FROM v)
-SELECT bitmap_id, pos, nth * n.n + pos AS global_pos FROM b JOIN k ON k.value = bitmap_id, n""")
+SELECT bitmap_id, pos, nth * n.n + pos AS global_pos FROM b JOIN k ON k.value = bitmap_id, n""", also="bitmap_global")
 def bitmap_global_all(spark, d):
     return bitmaps.set_concatenated(*_sets(spark, d))
 
 
-@query(f"WITH {ONES} SELECT bitmap_id, pos, gap FROM b")
+@query(f"WITH {ONES} SELECT bitmap_id, pos, gap FROM b", also="bitmap_sparse_gaps")
 def bitmap_sparse_gaps_all(spark, d):
     return bitmaps.ones(_sets(spark, d)[0]).drop("ith")
 
 
 @query(f"""WITH {ONES}, p AS (SELECT v.value AS bitmap_id, range AS pos FROM v, range(3, 9), n WHERE range < n.n)
-SELECT bitmap_id, p.pos - 3 AS pos, (b.pos IS NOT NULL)::INT AS bit FROM p LEFT JOIN b USING (bitmap_id, pos)""")
+SELECT bitmap_id, p.pos - 3 AS pos, (b.pos IS NOT NULL)::INT AS bit FROM p LEFT JOIN b USING (bitmap_id, pos)""", also="bitmap_extract")
 def bitmap_extract_all(spark, d):
     return bitmaps.set_extract(*_sets(spark, d), 3, 6)
 
 
 @query(f"""WITH {ONES}, h AS (SELECT bitmap_id, pos // 65536 AS chunk, count(*) AS n, count(*) FILTER (ith = 0 OR gap > 1 OR pos % 65536 = 0) AS runs FROM b GROUP BY 1, 2)
-SELECT bitmap_id, sum(least(2 * n, 8192, 2 + 4 * runs))::BIGINT AS roaring_bytes FROM h GROUP BY bitmap_id""")
+SELECT bitmap_id, sum(least(2 * n, 8192, 2 + 4 * runs))::BIGINT AS roaring_bytes FROM h GROUP BY bitmap_id""", also="roaring_size_formula")
 def roaring_size_formula_all(spark, d):
     return bitmaps.set_roaring_size(_sets(spark, d)[0])
 
@@ -538,28 +425,92 @@ def bloom_build(spark, d):
     return bloom.positions(orders(spark, d)[0], "o_custkey", 10, md5=True)
 
 
-@query(f"""WITH {BLOOM}, q AS (SELECT value, {MD5.format(1)} AS one, {MD5.format(2)} AS two FROM (SELECT (range * 37)::BIGINT AS value FROM range(200))),
-a AS (SELECT DISTINCT value, stripe_id, ((one + i * two) % m)::INT AS pos FROM q, m, (SELECT range AS i FROM range(6)))
-SELECT a.value, a.stripe_id FROM a LEFT JOIN p ON p.stripe_id = a.stripe_id AND p.pos = a.pos GROUP BY 1, 2 HAVING count(*) = count(p.pos)""")
-def bloom_probe(spark, d):
-    keys = spark.range(200).select((F.col("id") * 37).alias("value"))
-    return bloom.candidates(bloom.build(orders(spark, d)[0], "o_custkey", 10, md5=True), keys, 10, md5=True)
-
-
 @query(f"""WITH {BLOOM}, q AS (SELECT value, {MD5.format(1)} AS one, {MD5.format(2)} AS two FROM (SELECT c_custkey AS value FROM customer UNION SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)),
 a AS (SELECT DISTINCT value, stripe_id, ((one + i * two) % m)::INT AS pos FROM q, m, (SELECT range AS i FROM range(6)))
-SELECT a.value, a.stripe_id FROM a LEFT JOIN p ON p.stripe_id = a.stripe_id AND p.pos = a.pos GROUP BY 1, 2 HAVING count(*) = count(p.pos)""")
+SELECT a.value, a.stripe_id FROM a LEFT JOIN p ON p.stripe_id = a.stripe_id AND p.pos = a.pos GROUP BY 1, 2 HAVING count(*) = count(p.pos)""", also="bloom_probe")
 def bloom_probe_all(spark, d):
     keys = tables.parquet(spark, d, "customer").select(F.col("c_custkey").alias("value"))
     keys = keys.union(tables.parquet(spark, d, "orders").select("o_custkey"))
     return bloom.candidates(bloom.build(orders(spark, d)[0], "o_custkey", 10, md5=True), keys, 10, md5=True)
 
 
-@query()
+@query(f"""WITH {BLOOM}, {_k_negative(0)}, q AS (SELECT value, {MD5.format(1)} AS one, {MD5.format(2)} AS two FROM k),
+a AS (SELECT DISTINCT value, stripe_id, ((one + i * two) % m)::INT AS pos FROM q, m, (SELECT range AS i FROM range(6))),
+f AS (SELECT a.value, a.stripe_id FROM a LEFT JOIN p ON p.stripe_id = a.stripe_id AND p.pos = a.pos GROUP BY 1, 2 HAVING count(*) = count(p.pos))
+SELECT {LOOKUPS}::BIGINT AS num_lookups, (SELECT count(*) FROM f) AS num_false_positives, {LOOKUPS} * (SELECT n FROM n) AS num_true_negatives, 0::BIGINT AS num_false_negatives""")
 def bloom_eval_negative(spark, d):
     striped, n = orders(spark, d)
     keys = evaluate.negative(striped, "o_custkey", LOOKUPS)
-    return evaluate.outcome(bloom.candidates(bloom.build(striped, "o_custkey"), keys), striped, "o_custkey", keys, n)
+    return evaluate.outcome(bloom.candidates(bloom.build(striped, "o_custkey", md5=True), keys, md5=True), striped, "o_custkey", keys, n)
+
+
+# Whatever an index hashes: no stripe with a value is missed, and what is not there is counted alike.
+EXACT = f"""SELECT '{{0}}' AS test_case, (SELECT count(*) FROM k) AS num_lookups,
+(SELECT count(*) FROM k) * (SELECT n FROM n) - (SELECT count(*) FROM k JOIN t USING (value)) AS num_true_negatives, 0::BIGINT AS num_false_negatives"""
+
+
+def _index_outcomes(spark, d, make: evaluate.Builder) -> DataFrame:
+    striped, n = orders(spark, d)
+    built, out = make(striped, "o_custkey", n), None
+    for case in ("positive_distinct", "negative"):
+        keys = evaluate.workload(striped, "o_custkey", case, LOOKUPS)[case]
+        one = evaluate.outcome(built.candidates(keys), striped, "o_custkey", keys, n).drop("num_false_positives").withColumn("test_case", F.lit(case))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+OUTCOMES = f"""SELECT * FROM (WITH {S}, {DRAWS}, {K_DISTINCT} {EXACT.format("positive_distinct")})
+UNION ALL SELECT * FROM (WITH {S}, {_k_negative(0)} {EXACT.format("negative")})"""
+
+
+@query(OUTCOMES)
+def zone_map_outcomes(spark, d):
+    return _index_outcomes(spark, d, evaluate.zone_map_builder())
+
+
+@query(OUTCOMES)
+def bloom_outcomes(spark, d):
+    return _index_outcomes(spark, d, evaluate.bloom_builder())
+
+
+@query(OUTCOMES)
+def xor_outcomes(spark, d):
+    return _index_outcomes(spark, d, evaluate.xor_builder())
+
+
+@query(OUTCOMES)
+def cuckoo_outcomes(spark, d):
+    return _index_outcomes(spark, d, evaluate.cuckoo_builder())
+
+
+@query(f"WITH {S} {SETS}")
+def cuckoo_saved_lookup(spark, d):
+    """The lookup of an index that was saved and loaded again."""
+    index, striped, _ = _cuckoo(spark, d)
+    path = scratch(spark, "index")
+    cuckoo.save(index, path)
+    return _joined(cuckoo.lookup(cuckoo.load(spark, path), truth.pairs(striped, "o_custkey")))
+
+
+@query(f"""WITH {S}, r AS (SELECT min(o_custkey) AS lo, max(o_custkey) AS hi FROM s)
+SELECT count(*) AS zones, count(*) FILTER (min IS NULL) AS empty_zones, round(avg((max - min) / (hi - lo)), 9) AS mean_width FROM z, r""")
+def zone_map_stats(spark, d):
+    striped, _ = orders(spark, d)
+    ends = striped.agg(F.min("o_custkey"), F.max("o_custkey")).first()
+    return zonemap.stats(zonemap.build(striped, "o_custkey"), tuple(ends)).withColumn("mean_width", F.round("mean_width", 9))
+
+
+@query(f"""WITH {S}, c AS (SELECT value, stripe_id, row_number() OVER (ORDER BY value, stripe_id) AS nth,
+dense_rank() OVER (ORDER BY value) - 1 AS bitmap, (dense_rank() OVER (ORDER BY value) - 1) * n.n + stripe_id AS pos FROM t, n),
+g AS (SELECT *, pos - nth AS island FROM c)
+SELECT count(DISTINCT bitmap) AS bitmaps, count(*) / (count(DISTINCT bitmap) * (SELECT n FROM n)) AS density, count(*) / count(DISTINCT island) AS clustering FROM g""")
+def bitmap_global_measures(spark, d):
+    return bitmaps.global_measures(*_sets(spark, d))
+
+
+@query()
+def cuckoo_fillings(spark, d):
+    return cuckoo.stats(_cuckoo(spark, d)[0])
 
 
 @query()
@@ -571,7 +522,7 @@ def xor_probe(spark, d):
 
 @query()
 def compressed_sizes(spark, d):
-    striped, _ = orders(spark, d)
+    striped, _ = orders(spark, d, "o_custkey", "o_orderpriority")
     return columns.compressed_size(striped, "o_custkey").crossJoin(
         columns.compressed_size(striped, "o_orderpriority").withColumnRenamed("size", "text_size")
     )
@@ -579,8 +530,8 @@ def compressed_sizes(spark, d):
 
 @query()
 def eval_results(spark, d):
-    builders = [evaluate.zone_map_builder(), evaluate.xor_builder(), evaluate.cuckoo_builder()]
-    return evaluate.experiments(lambda _: orders(spark, d), ["o_custkey"], [ROWS], builders, ["positive_distinct", "negative"], 200)
+    cases = [case for case in evaluate.CASES if case != "mixed"]  # zone_map_eval_mixed has that
+    return evaluate.experiments(lambda _: orders(spark, d), ["o_custkey"], [ROWS], evaluate.usual_builders(), cases, LOOKUPS)
 
 
 @query()
@@ -595,18 +546,12 @@ def synthetic_uniform(spark, d):
 
 @query("SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE o_custkey IN (7, 11, 400)")
 def pruned_scan(spark, d):
-    import uuid
-
     from stripewise.plans import pruning
-    from stripewise.session import kept
 
-    table = tables.parquet(spark, d, "orders")
-    striped = stripes.assign_stripes(table, ROWS, "o_orderkey", keep_tail=True)
-    n = stripes.num_stripes(table, ROWS)
-    kept(spark.range(1))  # sees to a shared folder
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/stripewise"
-    path = f"{base}/striped-{uuid.uuid4().hex}"
-    pruning.write_striped(striped, path)
+    table = tables.parquet(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    path = scratch(spark, "striped")
+    pruning.write_striped(stripes.assign_stripes(table, ROWS, "o_orderkey", keep_tail=True), path)
+    n, striped = stripes.num_stripes(table, ROWS), spark.read.parquet(path)
     index = cuckoo.build(striped.where(F.col("stripe_id") < n), "o_custkey", n)
     values = [7, 11, 400]
     keys = spark.createDataFrame([(v,) for v in values], "value long")

@@ -143,3 +143,69 @@ def test_fingerprints(spark):
 def test_rle_of_a_bucket_map():
     bits = np.array([0, 1] * 400 + [1] * 100, np.uint8)
     assert (RleBitmap.decode(RleBitmap(bits).encode()).extract(0, 900) == bits).all()
+
+
+@pytest.mark.parametrize("kind", ["date", "timestamp"])
+def test_zone_map_of_times_by_bins(spark, monkeypatch, kind):
+    s = column(spark, [(i * 37) % 500 for i in range(600)], k=20)
+    s = s.withColumn("v", F.expr(f"cast(date_add(DATE'2024-01-01', cast(v as int)) as {kind})"))
+    zones, keys = zonemap.build(s, "v"), s.select(F.col("v").alias("value")).distinct()
+    few = sorted(zonemap.candidates(zones, keys).collect())
+    monkeypatch.setattr(zonemap, "MOST_SENT", 0)
+    assert few and sorted(zonemap.candidates(zones, keys).collect()) == few
+
+
+def test_bloom_in_blocks(spark):
+    """Blocks of probes, bits looked at one by one."""
+    s = column(spark, [(i * 37) % 211 for i in range(400)], k=50)
+    keys = spark.range(-20, 400).select(F.col("id").alias("value"))
+    filters = bloom.build(s, "v", 5, md5=True)
+    got = {tuple(r) for r in bloom.candidates(filters, keys, 5, md5=True, block=37).collect()}
+    set_ = {(r.stripe_id, r.pos): r.m for r in bloom.positions(s, "v", 5, md5=True).collect()}
+    sizes = {stripe: m for (stripe, _), m in set_.items()}
+    h = lambda seed, v: int(__import__("hashlib").md5(f"{seed}:{v}".encode()).hexdigest()[:15], 16) % 2**31
+    want = {(v, x) for v in range(-20, 400) for x, m in sizes.items() if all((x, (h(1, v) + i * h(2, v)) % m) in set_ for i in range(bloom.num_probes(5)))}
+    assert got == want
+
+
+def test_saved_index(spark, tmp_path):
+    s = column(spark, [i % 97 for i in range(400)], k=20)
+    index = cuckoo.build(s, "v", 20, cuckoo.Config(slots=4, prefix_bits=True), shard_values=50)
+    cuckoo.save(index, str(tmp_path / "i"))
+    back = cuckoo.load(spark, str(tmp_path / "i"))
+    assert (back.num_shards, back.num_stripes, back.config) == (index.num_shards, index.num_stripes, index.config)
+    keys = spark.range(-5, 120).select(F.col("id").alias("value")).unionByName(spark.createDataFrame([(None,)], "value long"))
+    rows = lambda i: sorted(((r.value, r.stripes) for r in cuckoo.lookup(i, keys).collect()), key=repr)
+    assert rows(back) == rows(index) and len(rows(back)) == 126
+    fill = {r.held: r.buckets for r in cuckoo.stats(index).collect()}
+    buckets = index.shards.agg(F.sum("buckets")).first()[0]
+    assert sum(fill.values()) == buckets and sum(k * n for k, n in fill.items()) == 97
+
+
+def test_zone_stats(spark):
+    zones = zonemap.build(column(spark, [0, 10, None, None, 4, 5], k=2), "v")
+    got = zonemap.stats(zones, (0, 10)).first()
+    assert (got.zones, got.empty_zones) == (3, 1) and abs(got.mean_width - (1 + 0.1) / 2) < 1e-12
+
+
+def test_blocks_count_every_bucket(spark):
+    index = cuckoo.build(column(spark, list(range(200)), k=20), "v", 10)
+    rows = cuckoo.blocks(index).collect()
+    assert sum(r.buckets for r in rows) == index.shards.agg(F.sum("buckets")).first()[0] and sum(r.fingerprints for r in rows) == 200
+    assert [r.buckets for r in rows] == sorted((r.buckets for r in rows), reverse=True)
+    assert [r.fingerprints for r in rows if r.num_bits == 0] == [0]
+
+
+def test_phases():
+    from stripewise.functions.profiling import Phases
+
+    phases = Phases()
+    for _ in range(3):
+        with phases.phase("a"):
+            pass
+    with pytest.raises(KeyError), phases.phase("b"):
+        raise KeyError
+    assert phases.times == {"a": 3, "b": 1} and all(x >= 0 for x in phases.seconds.values())
+    assert [x.split(":")[0] for x in phases.lines()] == ["a", "b"]
+    phases.reset()
+    assert not phases.lines()

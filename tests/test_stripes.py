@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,8 +70,12 @@ def test_stats(spark):
 def test_inference(spark, tmp_path):
     (tmp_path / "a.csv").write_text("a,b,c,d\n1,x,-5,\nNULL,2,7,\n3,NULL,,\n")
     df = tables.csv(spark, str(tmp_path / "a.csv"))
-    assert dict(df.dtypes) == {"a": "bigint", "b": "string", "c": "bigint", "d": "string"}
-    assert [r.c for r in df.collect()] == [-5, 7, None]
+    assert dict(df.dtypes) == {"a": "bigint", "b": "string", "c": "string", "d": "string"}  # a sign is no digit
+    assert [r.c for r in df.collect()] == ["-5", "7", None] and [r.a for r in df.collect()] == [1, None, 3]
+    (tmp_path / "b.csv").write_text("big,edge\n12345678901234567890,9223372036854775807\n1,2\n")
+    big = tables.csv(spark, str(tmp_path / "b.csv"))
+    assert dict(big.dtypes) == {"big": "string", "edge": "bigint"}  # nothing is lost to null
+    assert [tuple(r) for r in big.collect()] == [("12345678901234567890", 9223372036854775807), ("1", 2)]
     assert tables.csv(spark, str(tmp_path / "a.csv"), ["b", "a"]).columns == ["b", "a"]
     with pytest.raises(ValueError, match="a, b, c, d"):
         tables.csv(spark, str(tmp_path / "a.csv"), ["e"])
@@ -80,6 +85,17 @@ def test_compressed_size(spark):
     size = lambda values, kind, k: columns.compressed_size(column(spark, values, kind, k), "v").first()[0]
     assert 20 < size([0, 1, 2, 3], "bigint", 4) < 30 and 50 < size([0, 1, 2, 3], "bigint", 1) < 60
     assert 20 < size(["DE", "US", "IT", "FR"], "string", 4) < 30 and 40 < size(["DE", "US", "IT", "FR"], "string", 1) < 50
+    import datetime
+
+    from stripewise.functions.codecs import compress
+
+    packed = lambda x: len(compress(np.array(x).tobytes()))
+    assert size([1.5, 2.25, None, 4.0], "double", 4) == packed([1.5, 2.25, 0, 4.0])
+    assert size([2**53 + 1, None, 2, 3], "bigint", 4) == packed([2**53 + 1, 0, 2, 3])
+    days = [datetime.date(2024, 1, d) for d in (1, 5, 9)]
+    assert size(days, "date", 3) == packed(np.array([(d - datetime.date(1970, 1, 1)).days for d in days], "<i4"))
+    times = [datetime.datetime(2024, 1, d, tzinfo=datetime.timezone.utc) for d in (1, 5, 9)]
+    assert size(times, "timestamp", 3) == packed([int(t.timestamp()) * 10**6 for t in times])
 
 
 def test_sources(spark):
