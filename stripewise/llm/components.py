@@ -8,15 +8,19 @@ from pyspark.sql import functions as F
 from stripewise.llm.common import cut
 
 
+MOST_SENT = 100_000  # rows of two numbers, a few megabytes, that go to every task at most
 HOT_KEYS = 1000  # keys at most that hold more than this part of all rows
 
 
 def meet(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
     """rows joined with values (one row for each key, with n, the rows that have it; dropped).
 
-    Keys with more than a thousandth of all rows, of which there are a thousand at most, are
-    sent to the rows where they lie; only the others are shuffled, so that no task gets more
-    of a key than that part. rows and values should be cut, as both are read twice."""
+    Up to MOST_SENT values are sent to the rows where they lie. Of more, only keys with more than
+    a thousandth of all rows, of which there are a thousand at most, are sent; the others are
+    shuffled, so that no task gets more of a key than that part. rows and values should be cut,
+    as both are read twice."""
+    if values.count() <= MOST_SENT:
+        return rows.join(F.broadcast(values.drop("n")), key)
     hot = F.broadcast(values.where(F.col("n") * HOT_KEYS > total).drop("n"))
     cold = values.where(F.col("n") * HOT_KEYS <= total).drop("n")
     rest = rows.join(hot.select(key), key, "left_anti")

@@ -265,16 +265,17 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, width: int, text_col:
 
     first = cut(_with(tests, sets, "hashes").where(_alike(percent)).select("a", "b"))
 
-    # Within a cluster: those linked to the hub and the others in blocks of their own, about BLOCK
-    # large, by a hash of the node, so that nobody numbers a cluster; blocks of linked ones need
-    # no check against each other.
+    # Within a cluster of more than BLOCK: those linked to the hub and the others in blocks of
+    # their own, about BLOCK large, by a hash of the node, so that nobody numbers a cluster;
+    # blocks of linked ones need no check against each other. A smaller cluster is one block.
     linked = first.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.lit(True).alias("linked"))
     members = cut(clusters.join(linked, ["node", "hub"], "left").withColumn("linked", F.coalesce("linked", F.lit(False))))
     parts = members.groupBy("hub").agg(F.count_if("linked").alias("l"), F.count_if(~F.col("linked")).alias("u"), F.count("*").alias("n"))
-    parts = cut(parts.where("u > 0").select("hub", "n", *[F.expr(f"cast(({c} + {BLOCK - 1}) div {BLOCK} as int)").alias(c) for c in ("l", "u")]))
+    of = lambda c, small: F.expr(f"cast(if(l + u <= {BLOCK}, {small}, ({c} + {BLOCK - 1}) div {BLOCK}) as int)")
+    parts = cut(parts.where("u > 0").select("hub", "n", of("l", 0).alias("l"), of("u", 1).alias("u")))
     dealt = F.pmod(F.xxhash64("node"), F.greatest(F.when(F.col("linked"), F.col("l")).otherwise(F.col("u")), F.lit(1))).cast("int")
     members = cut(
-        meet(members, parts, "hub", held_near).select("hub", "node", "linked", F.when(F.col("linked"), dealt).otherwise(F.col("l") + dealt).alias("block"))
+        meet(members, parts, "hub", held_near).select("hub", "node", "linked", F.when(F.col("linked") & (F.col("l") > 0), dealt).otherwise(F.col("l") + dealt).alias("block"))
     )
     units = (  # blocks below l are of linked ones
         parts.select("hub", "l", F.explode(F.sequence(F.lit(0), F.col("l") + F.col("u") - 1)).alias("y"))

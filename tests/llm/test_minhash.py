@@ -139,11 +139,14 @@ def test_low_percentage_against_all_pairs(docs_of, copies):
     assert result(got) == brute(copies[:160], 3, 55)
 
 
+@pytest.mark.parametrize("most_sent", [100_000, 0])
 @pytest.mark.parametrize("centre", [0, 10**6])
-def test_a_star_is_split(spark, centre):
+def test_a_star_is_split(spark, centre, most_sent, monkeypatch):
     """A node with 20,000 links, as the least id or the largest: its rows are spread over tasks."""
+    from stripewise.llm import components as module
     from stripewise.llm.components import meet
 
+    monkeypatch.setattr(module, "MOST_SENT", most_sent)
     ids = spark.range(1, 20_001).select("id")
     links = ids.select(F.greatest("id", F.lit(centre)).alias("a"), F.least("id", F.lit(centre)).alias("b")).repartition(8)
     got = components(links).groupBy("component").count().collect()
