@@ -77,3 +77,54 @@ def test_awkward(awkward, empty):
     assert all(r.taken <= 3 * r.size for r in got)
     mixed_documents(mix).collect()
     assert taken_words(mix_sources(empty)).count() == 0
+
+
+def permute(x, n, key):
+    """One index through the permutation, in whole numbers."""
+    half = max(1, ((n - 1).bit_length() + 1) // 2)
+    mask = (1 << half) - 1
+    while True:
+        left, right = x >> half, x & mask
+        for r in range(4):
+            f = (right + key * 0x9E3779B97F4A7C15 + r + 1) * 0xBF58476D1CE4E5B9 % 2**64
+            f ^= f >> 29
+            f = f * 0x94D049BB133111EB % 2**64
+            f ^= f >> 32
+            left, right = right, left ^ (f & mask)
+        x = left << half | right
+        if x < n:
+            return x
+
+
+def test_against_a_replay_slot_by_slot(spark, docs_of):
+    """Counts, both permutations and the join by index, replayed with lists of words."""
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(int(rng.integers(0, 90)))), [None, "a", "b", "c"][int(rng.integers(0, 4))]) for i in range(120)]
+    words, shards, seed = 8, 5, 7
+    mix = mix_sources(docs_of(rows, parts=4), block_words=words, shards=shards, seed=seed)
+    text = {i: t.split() for i, t, _ in rows}
+    streams = {}
+    for r in sorted(mix.documents.collect(), key=lambda r: r.row):
+        streams.setdefault(r.source, []).extend(text[r.doc_id])
+    names = sorted(streams, key=lambda s: (s is None, s or ""))
+    sizes = [len(streams[s]) for s in names]
+    targets = water_fill(sizes, [[1.0, 2.0, 3.0][i % 3] for i in range(len(names))])
+    blocks = [-(-n // words) for n in sizes]
+    drawn = draw_counts([t * b / n for t, b, n in zip(targets, blocks, sizes, strict=True)], [3 * b for b in blocks], shards, seed)
+    keys = spark.range(shards * len(names) * 4).selectExpr("cast(id as int) AS x", "cast(id div 4 as int) AS s", "id % 4 AS e")
+    keys = keys.selectExpr("x", "s", "e", f"xxhash64({seed}, x) AS of_shard", f"xxhash64({seed + 1}, s, e) AS of_pass").collect()
+    of_shard, of_pass = {r.x: r.of_shard % 2**64 for r in keys}, {(r.s, r.e): r.of_pass % 2**64 for r in keys}
+    want = {}
+    for k in range(shards):
+        place = 0
+        for s, name in enumerate(names):
+            for i in range(int(drawn[k, s])):
+                draw = int(drawn[:k, s].sum()) + i
+                block = permute(draw % blocks[s], blocks[s], of_pass[s, draw // blocks[s]])
+                slot = permute(place + i, int(drawn[k].sum()), of_shard[k])
+                want[k, slot] = (name, block, streams[name][block * words : (block + 1) * words])
+            place += int(drawn[k, s])
+    got = {}
+    for r in sorted(mix.pieces.collect(), key=lambda r: (r.shard, r.slot, r.row)):
+        got.setdefault((r.shard, r.slot), (r.source, r.block, []))[2].extend(text[r.doc_id][r.start : r.start + r.length])
+    assert got == want
