@@ -146,11 +146,13 @@ def measures(bits: DataFrame) -> DataFrame:
 
 def _offsets(sizes: DataFrame) -> DataFrame:
     """(bitmap_id, offset): sums of size over the bitmaps before, by bitmap_id. Bitmaps are numbered
-    and summed up in blocks of BLOCK; one number for each block is summed up in turn."""
+    and summed up in blocks of BLOCK; the driver sums up one number for each block."""
     numbered = with_row_id(sizes, "bitmap_id", name="nth").withColumn("block", F.expr(f"nth div {BLOCK}"))
-    each = numbered.groupBy("block").agg(F.sum("size").alias("n"))
-    ends = F.sum("n").over(Window.orderBy("block"))
-    before = each.select("block", (ends - F.col("n")).alias("before"))
+    starts, at = [], 0
+    for r in sorted(numbered.groupBy("block").agg(F.sum("size").alias("n")).collect()):
+        starts.append((r["block"], at))
+        at += r["n"]
+    before = sizes.sparkSession.createDataFrame(starts, "block long, before long")
     within = F.sum("size").over(Window.partitionBy("block").orderBy("nth")) - F.col("size")
     return numbered.withColumn("within", within).join(before, "block").select("bitmap_id", (F.col("before") + F.col("within")).cast("long").alias("offset"))
 

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stripewise.functions.codecs import compress
 
 NAME = "ZoneMap"
 ENTRY_BYTES = 8
-BINS = 64
+BINS, MOST_BINS = 64, 1 << 20
+COVERED = 8  # bins that a zone covers on average, about
 BLOCK = 65_536
 #: Stripes that zones are sent to every task for: a few megabytes at most.
 MOST_SENT = 100_000
@@ -27,29 +28,37 @@ def probe(zones: DataFrame, probes: DataFrame) -> DataFrame:
     return probes.join(zones, "stripe_id").select("value", "stripe_id", inside.alias("maybe"))
 
 
+def _number(c: Column, kind: str) -> Column:
+    """A number that rises with the value: the value itself, days, microseconds, or the first six
+    bytes of a text."""
+    if kind == "date":
+        return F.unix_date(c).cast("double")
+    if kind == "timestamp":
+        return F.unix_micros(c).cast("double")
+    if kind == "string":
+        return F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    return c.cast("double")
+
+
 def candidates(zones: DataFrame, probes: DataFrame) -> DataFrame:
     """(value, stripe_id) of the stripes that may hold each probe (value).
 
-    Up to MOST_SENT zones go to every task. Beyond, numbers meet by equal join: the range of
-    all zones is cut into bins, a zone is listed under each bin that it covers, and a probe
-    looks at its own bin only; other types are joined by range."""
+    Up to MOST_SENT zones go to every task. Beyond, they meet by equal join: the range of all
+    zones is cut into bins, the more of them the narrower the zones are, a zone is listed under
+    each bin that it covers, and a probe looks at its own bin only."""
     values = probes.select("value").where(F.col("value").isNotNull()).distinct()
     if zones.count() <= MOST_SENT:
         return values.join(F.broadcast(zones), F.col("value").between(F.col("min"), F.col("max"))).select("value", "stripe_id")
     kind = dict(zones.dtypes)["min"]
-    if kind in ("date", "timestamp"):
-        number = F.unix_date if kind == "date" else F.unix_micros
-        numbers = zones.select("stripe_id", number("min").alias("min"), number("max").alias("max"))
-        met = candidates(numbers, values.select(number("value").alias("value")))
-        named = values.withColumn("number", number("value"))
-        return met.withColumnRenamed("value", "number").join(named, "number").select("value", "stripe_id")
-    if kind not in ("int", "bigint", "smallint", "double", "float"):
-        return values.join(zones, F.col("value").between(F.col("min"), F.col("max"))).select("value", "stripe_id")
-    ends = zones.agg(F.min("min"), F.max("max")).first()
-    width = max((float(ends[1]) - float(ends[0])) / BINS, 1e-300)
-    bin_of = lambda c: F.floor((F.col(c) - F.lit(ends[0])) / F.lit(width)).cast("int")
-    listed = zones.where(F.col("min").isNotNull()).withColumn("bin", F.explode(F.sequence(bin_of("min"), bin_of("max"))))
-    met = values.withColumn("bin", bin_of("value")).join(listed, "bin")
+    listed = zones.where(F.col("min").isNotNull()).withColumns({"lo": _number(F.col("min"), kind), "hi": _number(F.col("max"), kind)})
+    least, largest, mean = listed.agg(F.min("lo"), F.max("hi"), F.avg(F.col("hi") - F.col("lo"))).first()
+    if least is None:
+        return listed.select(F.col("min").alias("value"), "stripe_id").limit(0)
+    span = max(largest - least, 1e-300)
+    bins = int(min(MOST_BINS, max(BINS, COVERED * span / max(mean, span / MOST_BINS))))
+    bin_of = lambda x: F.floor((x - F.lit(least)) / F.lit(span) * F.lit(bins)).cast("int")
+    listed = listed.withColumn("bin", F.explode(F.sequence(bin_of(F.col("lo")), bin_of(F.col("hi")))))
+    met = values.withColumn("bin", bin_of(_number(F.col("value"), kind))).join(listed, "bin")
     return met.where(F.col("value").between(F.col("min"), F.col("max"))).select("value", "stripe_id")
 
 

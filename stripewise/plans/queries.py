@@ -569,3 +569,76 @@ def combined_lookups(spark, d):
     a, b = found(7), found(11, 400)
     both = pruning.conjunction(a, b).select(F.lit("and").alias("op"), "stripe_id")
     return both.unionByName(pruning.disjunction(a, b).select(F.lit("or").alias("op"), "stripe_id"))
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders")
+def csv_scan(spark, d):
+    """Orders written as CSV and read by the engine's type rules."""
+    path = scratch(spark, "csv")
+    names = ["o_orderkey", "o_orderstatus", "o_orderpriority"]
+    tables.parquet(spark, d, "orders").select("o_custkey", *names).write.mode("overwrite").csv(path, header=True, nullValue="NULL")
+    return tables.csv(spark, path, names)
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 7 AND o_orderkey > 100")
+def striped_source_scan(spark, d):
+    """Rows of one customer through the data source, which reads the stripes that zones leave."""
+    from stripewise.plans import pruning
+    from stripewise.sources.striped import filtered, zone_option
+
+    table = tables.parquet(spark, d, "orders").select("o_orderkey", "o_custkey")
+    path = scratch(spark, "striped")
+    pruning.write_striped(stripes.assign_stripes(table, ROWS, "o_orderkey", keep_tail=True), path)
+    striped = spark.read.parquet(path)
+    zones = zone_option({c: zonemap.build(striped, c) for c in ("o_orderkey", "o_custkey")})
+    n = str(stripes.num_stripes(table, ROWS) + 1)
+    kinds = ", ".join(f"{c} {k}" for c, k in table.dtypes)
+    return filtered(spark, F.expr("o_custkey = 7 AND o_orderkey > 100"), path=path, zones=zones, stripes=n, columns=kinds)
+
+
+@query(f"WITH {S} SELECT * FROM z")
+def streamed_zone_map(spark, d):
+    """Zones of stripes that arrive as a stream."""
+    from stripewise.streaming.append import append_indexes
+
+    base = scratch(spark, "stream")
+    striped, _ = orders(spark, d)
+    striped.write.mode("overwrite").parquet(f"{base}/in")
+    stream = spark.readStream.schema(striped.schema).parquet(f"{base}/in")
+    append_indexes(stream, "o_custkey", f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/out/zones").select("stripe_id", "min", "max")
+
+
+@query(f"WITH {S}, m AS (SELECT greatest(64, count(*) * 10) AS m FROM t GROUP BY stripe_id) SELECT sum(ceil(m / 8))::BIGINT AS byte_size FROM m")
+def bloom_size(spark, d):
+    return bloom.sizes(bloom.build(orders(spark, d)[0], "o_custkey")).select("byte_size")
+
+
+@query(f"WITH {S}, m AS (SELECT greatest(2, floor(32 + 1.23::DOUBLE * count(*))::BIGINT // 3 + 1) AS third FROM t GROUP BY stripe_id) SELECT sum(8 + 3 * third)::BIGINT AS byte_size FROM m")
+def xor_size(spark, d):
+    return xor8.sizes(xor8.build(orders(spark, d)[0], "o_custkey")).select("byte_size")
+
+
+@query(f"WITH {S} SELECT value AS bitmap_id, stripe_id AS pos FROM t")
+def bitmap_written_and_read(spark, d):
+    """The ones of every customer's bitmap after it was packed, written and read again."""
+    sets, n = _sets(spark, d)
+    path = scratch(spark, "bitmaps")
+    bitmaps.packed(bitmaps.from_stripes(sets, n)).write.mode("overwrite").parquet(path)
+    return bitmaps.unpacked(spark.read.parquet(path)).where("bit = 1").select("bitmap_id", "pos")
+
+
+@query(f"WITH {S}, q AS (SELECT DISTINCT c_custkey AS value FROM customer) SELECT q.value, coalesce(string_agg(t.stripe_id::VARCHAR, ',' ORDER BY t.stripe_id), '') AS stripes FROM q LEFT JOIN t USING (value) GROUP BY q.value")
+def qualifying_stripes(spark, d):
+    """Every customer's stripes, none for those without orders."""
+    striped, _ = orders(spark, d)
+    asked = tables.parquet(spark, d, "customer").select(F.col("c_custkey").alias("value"))
+    return _joined(truth.qualifying(truth.pairs(striped, "o_custkey").join(asked, "value", "left_semi"), asked))
+
+
+@query(f"WITH {S} SELECT count(DISTINCT value) AS fingerprints, 0::BIGINT AS uneven_buckets FROM t")
+def cuckoo_lengths_by_bucket(spark, d):
+    """Fingerprints in all blocks, and buckets whose slots differ in length."""
+    index = _cuckoo(spark, d, cuckoo.Config(slots=4, prefix_bits=True))[0]
+    found = cuckoo.blocks(index).agg(F.sum("fingerprints").alias("fingerprints"))
+    return found.crossJoin(cuckoo.same_length(index.slots).agg(F.count("*").alias("uneven_buckets")))

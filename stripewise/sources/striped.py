@@ -81,7 +81,12 @@ def filtered(spark: SparkSession, condition: Column, **options: str) -> DataFram
     return spark.read.format(StripedSource.name()).options(**options).load().where(condition)
 
 
+MOST_ZONES = 100_000
+
+
 def zone_option(zones_by_column: dict) -> str:
     """The zones option from zone maps (column -> DataFrame of stripe_id, min, max): two values a
-    stripe, for numbers and text."""
+    stripe, for numbers and text, of MOST_ZONES stripes at most; pruned_scan takes more."""
+    if any(z.count() > MOST_ZONES for z in zones_by_column.values()):
+        raise ValueError(f"more than {MOST_ZONES} zones; use pruned_scan")
     return json.dumps({c: {str(r["stripe_id"]): [r["min"], r["max"]] for r in z.collect()} for c, z in zones_by_column.items()})

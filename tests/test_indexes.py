@@ -145,10 +145,11 @@ def test_rle_of_a_bucket_map():
     assert (RleBitmap.decode(RleBitmap(bits).encode()).extract(0, 900) == bits).all()
 
 
-@pytest.mark.parametrize("kind", ["date", "timestamp"])
-def test_zone_map_of_times_by_bins(spark, monkeypatch, kind):
+@pytest.mark.parametrize("kind", ["date", "timestamp", "string"])
+def test_zone_map_of_other_types_by_bins(spark, monkeypatch, kind):
     s = column(spark, [(i * 37) % 500 for i in range(600)], k=20)
-    s = s.withColumn("v", F.expr(f"cast(date_add(DATE'2024-01-01', cast(v as int)) as {kind})"))
+    how = "concat(array('a', 'b', 'é', '😀')[v % 4], v)" if kind == "string" else f"cast(date_add(DATE'2024-01-01', cast(v as int)) as {kind})"
+    s = s.withColumn("v", F.expr(how))
     zones, keys = zonemap.build(s, "v"), s.select(F.col("v").alias("value")).distinct()
     few = sorted(zonemap.candidates(zones, keys).collect())
     monkeypatch.setattr(zonemap, "MOST_SENT", 0)
