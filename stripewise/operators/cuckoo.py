@@ -34,7 +34,7 @@ LOAD_FACTOR = {1: 0.49, 2: 0.84, 4: 0.95, 8: 0.98}
 SKEW = {1: 1.1, 2: 16.0, 4: 128.0, 8: 1024.0}
 MOST_KICKS = 50_000
 GROWTH = 1.01
-SHARD_VALUES = 500_000
+SHARD_VALUES = 200_000
 
 
 class Algorithm(Enum):
@@ -99,12 +99,17 @@ class Table:
 def distribute(
     first: np.ndarray, second: np.ndarray, buckets: int, slots: int, skewed: bool, most_kicks: int = MOST_KICKS
 ) -> list[list[int]] | None:
-    """The buckets' values, or none if a value finds no place."""
+    """The buckets' values, or none if a value finds no place. As many as their first buckets hold
+    are put there at once; the others are inserted one by one and kick where they must."""
     table = Table(first, second, buckets, slots, skewed)
-    for v in range(len(first)):
-        if not table.insert(v, most_kicks):
-            return None
-    return table.rows
+    order = np.argsort(first, kind="stable")
+    home = np.asarray(first)[order]
+    fits = np.arange(len(home)) - np.searchsorted(home, home) < slots
+    for b, v in zip(home[fits].tolist(), order[fits].tolist(), strict=True):
+        table.rows[b].append(v)
+    if all(table.insert(v, most_kicks) for v in order[~fits].tolist()):
+        return table.rows
+    return None
 
 
 @dataclass(frozen=True)
