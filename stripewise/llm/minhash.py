@@ -3,7 +3,9 @@
 Every class of documents with equal shingle sets has a signature of K coordinates and is
 posted under (coordinate, value) pairs. A pair of classes as similar as asked for agrees in M
 coordinates or more but for a chance of MISS at most (see needed), so it meets under one of the K - M + 1
-rarest coordinates of either: only those are posted, the longer lists being skipped.
+rarest coordinates of either: only those lists are merged, the longer ones being skipped. Whether
+a candidate lies in a skipped list of its partner's is read off its signature, coordinate by
+coordinate, which completes the count of collisions; pairs of M or more are retained.
 
 A posting list is not paired with itself. Its most central class, the one whose values are
 the most frequent, is its hub, and every class is held against its hubs. Those alike enough to

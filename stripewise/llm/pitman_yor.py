@@ -33,8 +33,8 @@ from stripewise.llm.common import delete_at_end, shared_dir, stored
 
 SWEEPS, BURN_IN = 3, 1
 FOLDS, HELD_OUT = 5, 1
-CHUNK_BYTES = 32 << 20
-PART_TOKENS = 6_000_000
+CHUNK_BYTES = 16 << 20
+PART_TOKENS = 3_000_000
 MOST_BUCKETS = 20_000
 HOT_SHARE = 4096  # a word with more than this part of all tokens is dealt to all parts
 SLICE = 400_000  # dishes seated at once
@@ -411,40 +411,44 @@ def chunk_pairs(tokens: np.ndarray, hashes: np.ndarray, parts: int, hot: np.ndar
     by_hash = np.argsort(hashes)
     rank = np.empty(n, np.int64)
     rank[by_hash] = np.arange(n)
-    before = np.concatenate(([0], tokens[:-1]))
-    own = _share(hashes, parts)
-    spread = _share(_mixed(hashes), parts)
-    part = np.where(np.isin(hashes, hot)[tokens], spread[before], own[tokens])
-    found, of_token = np.unique((part * n + rank[tokens]) * n + rank[before], return_inverse=True)
-    return Pairs(by_hash[found // n % n], by_hash[found % n], found // n // n, of_token)
+    before = np.concatenate((np.zeros(1, np.int32), tokens[:-1]))
+    key = _share(hashes, parts)[tokens]  # the part, then in place the order
+    is_hot = np.flatnonzero(np.isin(hashes, hot)[tokens])
+    key[is_hot] = _share(_mixed(hashes), parts)[before[is_hot]]
+    for place in (tokens, before):
+        key *= n
+        key += rank[place]
+    found, of_token = np.unique(key, return_inverse=True)
+    return Pairs(by_hash[found // n % n].astype(np.int32), by_hash[found % n].astype(np.int32), (found // n // n).astype(np.int32), of_token)
 
 
 BLOCK = "part int, chunk long, words binary, runs binary, contexts binary, context binary, count binary"
 
 
 def blocks(kept: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
-    """A row for each chunk and part: the chunk's pairs there, with their training counts."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                chunk, held, ends, tokens, hashes = (c[r].as_py() for c in batch.columns)
-                tokens, hashes = unpack(tokens), np.frombuffer(hashes, "<u8")
-                sizes = np.diff(unpack(ends, "<i8"), prepend=0)
-                pairs = chunk_pairs(tokens, hashes, parts, hot)
-                train = np.repeat(~np.array(held, bool), sizes)
-                count = np.bincount(pairs.of_token[train], minlength=len(pairs.word))
-                edges = np.flatnonzero(np.diff(pairs.part, prepend=-1, append=-1))
-                for a, b in zip(edges[:-1], edges[1:], strict=True):
-                    first = pairs.words(a, b)
-                    contexts, context = np.unique(hashes[pairs.before[a:b]], return_inverse=True)
-                    cells = [hashes[pairs.word[first]].tobytes(), pack(np.diff(first, append=b)), contexts.astype("<u8").tobytes(), pack(context), pack(count[a:b])]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(pairs.part[a])], pa.int32()), pa.array([chunk], pa.int64()), *(pa.array([x], pa.binary()) for x in cells)],
-                        names=[x.split()[0] for x in BLOCK.split(", ")],
-                    )
-
-    return kept.select("chunk", "held", "ends", "tokens", "hashes").mapInArrow(deal, BLOCK)
+    """A row for each chunk and part: the chunk's pairs there, with their training counts. Chunks
+    are taken bucket by bucket, one at a time, so that a task never holds several."""
+    names = [x.split()[0] for x in BLOCK.split(", ")]
+
+    def deal(table: pa.Table) -> pa.Table:
+        rows: list[list] = [[] for _ in names]
+        for chunk, held, ends, tokens, hashes in zip(*(table.column(i).to_pylist() for i in range(5)), strict=True):
+            tokens, hashes = unpack(tokens), np.frombuffer(hashes, "<u8")
+            sizes = np.diff(unpack(ends, "<i8"), prepend=0)
+            pairs = chunk_pairs(tokens, hashes, parts, hot)
+            train = np.repeat(~np.array(held, bool), sizes)
+            count = np.bincount(pairs.of_token[train], minlength=len(pairs.word))
+            edges = np.flatnonzero(np.diff(pairs.part, prepend=-1, append=-1))
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                first = pairs.words(a, b)
+                contexts, context = np.unique(hashes[pairs.before[a:b]], return_inverse=True)
+                cells = [int(pairs.part[a]), chunk, hashes[pairs.word[first]].tobytes(), pack(np.diff(first, append=b))]
+                cells += [contexts.astype("<u8").tobytes(), pack(context), pack(count[a:b])]
+                for column, cell in zip(rows, cells, strict=True):
+                    column.append(cell)
+        return pa.table([pa.array(x, t) for x, t in zip(rows, [pa.int32(), pa.int64(), *[pa.binary()] * 5], strict=True)], names=names)
+
+    return kept.select("chunk", "held", "ends", "tokens", "hashes").groupBy("chunk").applyInArrow(deal, BLOCK)
 
 
 PART = (
@@ -459,15 +463,16 @@ def merged_part(table: pa.Table, hot: np.ndarray) -> pa.Table:
     col = lambda name: table[name].to_pylist()
     listed = [np.frombuffer(x, "<u8") for x in col("words")]
     words, word = np.unique(np.concatenate(listed), return_inverse=True)
-    runs = np.concatenate([unpack(x) for x in col("runs")])
-    word = np.repeat(word, runs)
+    key = np.repeat(word, np.concatenate([unpack(x) for x in col("runs")]))
     listed = [np.frombuffer(x, "<u8") for x in col("contexts")]
     contexts, at = np.unique(np.concatenate(listed), return_inverse=True)
     starts = np.cumsum([0] + [len(x) for x in listed[:-1]])
-    context = np.concatenate([at[s + unpack(x)] for s, x in zip(starts, col("context"), strict=True)])
+    key *= len(contexts)
+    key += np.concatenate([at[s + unpack(x)] for s, x in zip(starts, col("context"), strict=True)])
     count = np.concatenate([unpack(x) for x in col("count")])
     sizes = [int.from_bytes(x[:8], "little") for x in col("count")]
-    found, place = np.unique(word * len(contexts) + context, return_inverse=True)
+    found, place = np.unique(key, return_inverse=True)
+    del key
     count = np.bincount(place, weights=count, minlength=len(found)).astype(np.int64)
     word, context = found // len(contexts), found % len(contexts)
     uses, dishes = (np.bincount(word, weights=x, minlength=len(words)) for x in (count, count > 0))
@@ -690,7 +695,7 @@ def _scored(kept: DataFrame, answers: DataFrame, parts: int, hot: np.ndarray, n:
                 tokens, hashes, ends = unpack(tokens), np.frombuffer(hashes, "<u8"), unpack(ends, "<i8")
                 pairs = chunk_pairs(tokens, hashes, parts, hot)
                 answered = sorted(answered, key=lambda a: a["part"])
-                p = np.concatenate([unpack(a["p"], "<f4") for a in answered]).astype(np.float64)
+                p = np.concatenate([unpack(a["p"], "<f4") for a in answered])
                 uses = np.zeros(len(hashes))
                 edges = np.flatnonzero(np.diff(pairs.part, prepend=-1, append=-1))
                 for a, b, told in zip(edges[:-1], edges[1:], answered, strict=True):
@@ -705,7 +710,7 @@ def _scored(kept: DataFrame, answers: DataFrame, parts: int, hot: np.ndarray, n:
                         pa.array(np.add.reduceat((uses > 0)[tokens].astype(np.int64), first), pa.int64()),
                         pa.array([n] * len(ends), pa.int64()),
                         pa.array(np.add.reduceat(base[tokens], first), pa.float64()),
-                        pa.array(np.add.reduceat(p[pairs.of_token], first), pa.float64()),
+                        pa.array(np.add.reduceat(p[pairs.of_token], first, dtype=np.float64), pa.float64()),
                     ],
                     names=schema.names,
                 )
