@@ -7,53 +7,32 @@ return), so that words are the same in Java, Python bytes and DuckDB.
 from __future__ import annotations
 
 import re
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SPACES = " \t\n\x0b\x0c\r"
-SPACE_RUN = r"[\x20\x09-\x0D]+"
-FALLBACK_DIR = "file:///tmp/checkpoints/stripewise"
+from stripewise.session import delete_at_end, kept, scratch, shared_dir
 
+__all__ = ["cut", "delete_at_end", "let", "shared_dir", "steady", "stored", "table", "without_spaces", "words_of"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only on one machine, where the session names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
-        path = FALLBACK_DIR
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+SPACES = " \t\n\x0b\x0c\r"
+SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder until nothing refers to it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """df, computed once and kept in the shared folder (see stripewise.session)."""
+    return kept(df)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a compressed Parquet table in the shared folder, for wide rows; it is deleted when
     the driver's JVM ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stripewise-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    delete_at_end(spark, path)
+    path = scratch(spark, f"stripewise-{name}")
+    df.write.option("compression", "zstd").mode("append").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def delete_at_end(spark: SparkSession, path: str) -> None:
-    """Makes the folder where it is not there yet (only what exists can be marked) and has it
-    deleted when the driver's JVM ends."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.mkdirs(place)
-    files.deleteOnExit(place)
-
-
 def steady(df: DataFrame) -> DataFrame:
     """df such that monotonically_increasing_id() numbers its rows alike in every job: as it is
     where it only reads files, projected and filtered; any other is stored
