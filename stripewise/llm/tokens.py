@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from functools import cached_property
 
 import numpy as np
 
@@ -49,10 +50,9 @@ class TextIds:
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(path)
-        spec = json.load(open(path, encoding="utf-8"))
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
         pre = spec["pre_tokenizer"] or {}
         self.fast = None
@@ -68,6 +68,13 @@ class TextIds:
                 ).encode_ordinary
         self.words = _Words(self.fast)
 
+    @cached_property
+    def slow(self):
+        """The library's tokenizer, loaded for the first text that needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def ids(self, text: str) -> bytes:
         if self.fast is None or any(s in text for s in self.special):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
