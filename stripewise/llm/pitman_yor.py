@@ -33,8 +33,8 @@ from stripewise.llm.common import delete_at_end, shared_dir, stored
 
 SWEEPS, BURN_IN = 3, 1
 FOLDS, HELD_OUT = 5, 1
-CHUNK_BYTES = 16 << 20
-PART_TOKENS = 3_000_000
+CHUNK_BYTES = 8 << 20
+PART_TOKENS = 2_000_000
 MOST_BUCKETS = 20_000
 HOT_SHARE = 4096  # a word with more than this part of all tokens is dealt to all parts
 SLICE = 400_000  # dishes seated at once
@@ -446,6 +446,7 @@ def blocks(kept: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
                 cells += [contexts.astype("<u8").tobytes(), pack(context), pack(count[a:b])]
                 for column, cell in zip(rows, cells, strict=True):
                     column.append(cell)
+        pa.default_memory_pool().release_unused()  # a worker may keep much after large cells
         return pa.table([pa.array(x, t) for x, t in zip(rows, [pa.int32(), pa.int64(), *[pa.binary()] * 5], strict=True)], names=names)
 
     return kept.select("chunk", "held", "ends", "tokens", "hashes").groupBy("chunk").applyInArrow(deal, BLOCK)
@@ -498,6 +499,7 @@ def merged_part(table: pa.Table, hot: np.ndarray) -> pa.Table:
         "twice": [int((count == 2).sum()), int((dishes[cold] == 2).sum())],
         "hot_count": np.concatenate([hot_count, hot_dishes]).tolist(),
     }
+    pa.default_memory_pool().release_unused()
     return pa.Table.from_pylist([row], schema=_PART_ARROW)
 
 
@@ -630,6 +632,7 @@ def _swept(met: DataFrame, k: int, state: State, distinct: int, parts: int) -> D
                 up = np.bincount(part.context, weights=t, minlength=len(part.contexts))
                 rows += [(k, -1, r, number, pack(up[a:b], "<i8"), None, None) for r, a, b in _slices(part.contexts, parts)]
                 yield from _messages(rows).to_batches()
+            pa.default_memory_pool().release_unused()
 
     return met.select("part", *PAIRS, "told").mapInArrow(sweep, MESSAGE)
 
@@ -694,8 +697,8 @@ def _scored(kept: DataFrame, answers: DataFrame, parts: int, hot: np.ndarray, n:
                 ends, tokens, hashes, answered = (batch.column(i)[r].as_py() for i in (2, 3, 4, 5))
                 tokens, hashes, ends = unpack(tokens), np.frombuffer(hashes, "<u8"), unpack(ends, "<i8")
                 pairs = chunk_pairs(tokens, hashes, parts, hot)
-                answered = sorted(answered, key=lambda a: a["part"])
-                p = np.concatenate([unpack(a["p"], "<f4") for a in answered])
+                answered.sort(key=lambda a: a["part"])
+                p = np.concatenate([unpack(a.pop("p"), "<f4") for a in answered])
                 uses = np.zeros(len(hashes))
                 edges = np.flatnonzero(np.diff(pairs.part, prepend=-1, append=-1))
                 for a, b, told in zip(edges[:-1], edges[1:], answered, strict=True):
@@ -714,6 +717,7 @@ def _scored(kept: DataFrame, answers: DataFrame, parts: int, hot: np.ndarray, n:
                     ],
                     names=schema.names,
                 )
+            pa.default_memory_pool().release_unused()
 
     told = answers.repartition(buckets, "chunk").groupBy("chunk").agg(F.collect_list(F.struct("part", "p", "uses")).alias("answered"))
     columns = ("ids", "held", "ends", "tokens", "hashes", "answered")
